@@ -125,12 +125,13 @@ def standardize_words(col, protect=(START_MARK, END_MARK)) -> Column:
     c = F.lower(_c(col))
     toks = words(c)
     prot = F.array(*[F.lit(p) for p in protect])
-    return F.transform(
+    stripped = F.transform(
         toks,
         lambda t: F.when(F.array_contains(prot, t), t).otherwise(
             F.regexp_replace(t, ASCII_PUNCT_CLASS, "")
         ),
     )
+    return F.filter(stripped, lambda t: t != "")
 
 
 def pretokenize(col, protect=(START_MARK, END_MARK)) -> Column:

@@ -1,17 +1,26 @@
 """Running aggregates and row positions per key without a task per key.
 
 ``Window.partitionBy(key)`` puts every row of a key into one task, which is
-what a hot key (a third of all rows) cannot afford.  Here the rows are
-range-partitioned on (key, order) instead, so a hot key is cut into many
-partitions of similar size.  Each partition computes its local running
-values with a window over (partition id, key), and receives a carry-in
-from the partitions before it.  Only the first key of a partition can have
-rows in an earlier partition, so the carry table has at most one row per
-partition: its size is bounded by the partition count, which is what makes
-the broadcast safe.
+what a hot key (a third of all rows) cannot afford.  Instead:
+
+1. A bounded random sample of the sort key ``(keys, order)`` gives up to
+   ``n - 1`` range boundaries (``orderBy(rand).limit`` is a distributed
+   top-k, so the sample never exceeds its size).
+2. Each row gets a *bucket*: the number of boundaries below its sort key,
+   found by a balanced CASE tree (log n comparisons).  The bucket is a pure
+   function of the row, so every branch of the plan and every re-executed
+   task sees the same bucket.  A hot key spans many buckets.
+3. Local running values are a window over ``(bucket, keys)``: bounded by
+   the bucket size, not the key size.
+4. Carry-in from earlier buckets of the same key comes from a per-(bucket,
+   key) summary.  Only the first key of a bucket can have rows in earlier
+   buckets, so the carry table has at most one row per bucket: its size is
+   bounded by the bucket count, which makes the broadcast safe.
 
 Supported running functions: count, sum, min, max, each with an inclusive
-(rows up to and including the current one) or exclusive frame.
+or exclusive (rows strictly before) frame.  ``order`` items are column
+names (ascending) or ``desc(name)`` for a numeric column in descending
+order.
 """
 
 from __future__ import annotations
@@ -20,10 +29,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import shuffle_partitions
 
-_PID = "__pid"
+_B = "__bucket"
+SAMPLE_PER_BUCKET = 64
+MAX_SAMPLE = 1_000_000
+SAMPLE_SEED = 20240101
 
 
 @dataclass(frozen=True)
@@ -34,58 +47,106 @@ class Running:
     inclusive: bool = True
 
 
+@dataclass(frozen=True)
+class desc:  # noqa: N801  (reads like a sort keyword at call sites)
+    name: str
+
+
 _AGG = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
 _COMBINE = {"sum": "sum", "count": "sum", "min": "min", "max": "max"}
+_NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
 def _value(spec: Running) -> Column:
     return F.lit(1) if spec.func == "count" else F.col(spec.col)
 
 
+def _sort_key(df: DataFrame, keys: list[str], order: list) -> Column:
+    """Struct whose natural ascending order equals (keys, order)."""
+    types = dict((f.name, f.dataType) for f in df.schema.fields)
+    fields = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
+    for j, o in enumerate(order):
+        if isinstance(o, desc):
+            if not isinstance(types[o.name], _NUMERIC):
+                raise TypeError(f"desc() needs a numeric column, {o.name} is {types[o.name]}")
+            fields.append((-F.col(o.name)).alias(f"o{j}"))
+        elif isinstance(types[o], (T.TimestampType, T.TimestampNTZType)):
+            # microseconds keep the order and survive the driver round trip exactly
+            fields.append(F.unix_micros(F.col(o).cast("timestamp")).alias(f"o{j}"))
+        else:
+            fields.append(F.col(o).alias(f"o{j}"))
+    return F.struct(*fields)
+
+
+def _window_order(order: list) -> list[Column]:
+    # desc items sort nulls first, matching the negated ascending sort key
+    return [F.col(o.name).desc_nulls_first() if isinstance(o, desc) else F.col(o).asc_nulls_first() for o in order]
+
+
+def _literal_struct(row, dtype: T.StructType) -> Column:
+    return F.struct(*[F.lit(row[i]).cast(f.dataType).alias(f.name) for i, f in enumerate(dtype.fields)])
+
+
+def _bucket_expr(key: Column, bounds: list[Column], lo: int, hi: int) -> Column:
+    """lo + number of boundaries in bounds[lo:hi] strictly below ``key``."""
+    if lo >= hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(key > bounds[mid], _bucket_expr(key, bounds, mid + 1, hi)).otherwise(
+        _bucket_expr(key, bounds, lo, mid)
+    )
+
+
+def with_buckets(df: DataFrame, keys: list[str], order: list, buckets: int | None = None) -> DataFrame:
+    """Add ``__bucket``: an order-preserving range bucket of (keys, order)."""
+    n = buckets or shuffle_partitions(df.sparkSession)
+    keyed = df.withColumn("__sk", _sort_key(df, keys, order))
+    size = min(MAX_SAMPLE, SAMPLE_PER_BUCKET * n)
+    sample = keyed.select("__sk").orderBy(F.rand(SAMPLE_SEED)).limit(size).orderBy("__sk").collect()
+    dtype = keyed.schema["__sk"].dataType
+    picks = []
+    if sample and n > 1:
+        step = len(sample) / n
+        for i in range(1, n):
+            r = sample[min(len(sample) - 1, int(i * step))]["__sk"]
+            if not picks or picks[-1] != r:
+                picks.append(r)
+    bounds = [_literal_struct(r, dtype) for r in picks]
+    return keyed.withColumn(_B, _bucket_expr(F.col("__sk"), bounds, 0, len(bounds))).drop("__sk")
+
+
 def running(
     df: DataFrame,
     keys: list[str],
     order: list,
     specs: list[Running],
-    partitions: int | None = None,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Add one column per spec: the running aggregate over rows of the same
-    ``keys`` ordered by ``order`` (names or sort Columns such as
-    ``F.col('x').desc()``; must be a total order per key)."""
-    n = partitions or shuffle_partitions(df.sparkSession)
-    order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    ranged = df.repartitionByRange(n, *[F.col(k) for k in keys], *order_cols).withColumn(
-        _PID, F.spark_partition_id()
-    )
-
-    # 1. one summary row per (partition, key): partial aggregates
-    summary = ranged.groupBy(_PID, *keys).agg(
-        *[_AGG[s.func](_value(s)).alias(s.out) for s in specs]
-    )
-    # 2. carry-in: combine the summaries of earlier partitions of the same key
-    before = Window.partitionBy(*keys).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    ``keys`` in ``order`` (must be a total order within a key)."""
+    ranged = with_buckets(df, keys, order, buckets)
+
+    # 1. one summary row per (bucket, key): partial aggregates
+    summary = ranged.groupBy(_B, *keys).agg(*[_AGG[s.func](_value(s)).alias(s.out) for s in specs])
+    # 2. carry-in: combine the summaries of earlier buckets of the same key;
+    #    at most one row per bucket survives the filter
+    before = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(
-        F.col(_PID).alias("__cpid"),
+        F.col(_B).alias("__cb"),
         *[F.col(k).alias(f"__ck_{i}") for i, k in enumerate(keys)],
         F.count(F.lit(1)).over(before).alias("__earlier"),
         *[_AGG[_COMBINE[s.func]](F.col(s.out)).over(before).alias(f"__carry_{s.out}") for s in specs],
     ).where(F.col("__earlier") > 0).drop("__earlier")
-    # at most one row per partition survives: bounded, broadcast it
 
-    # 3. local running values inside (partition, key)
-    frame_hi = Window.currentRow
-    local = Window.partitionBy(_PID, *keys).orderBy(*order_cols)
+    # 3. local running values inside (bucket, key)
+    local = Window.partitionBy(_B, *keys).orderBy(*_window_order(order))
     out = ranged
     for s in specs:
-        hi = frame_hi if s.inclusive else -1
+        hi = Window.currentRow if s.inclusive else -1
         w = local.rowsBetween(Window.unboundedPreceding, hi)
         out = out.withColumn(f"__local_{s.out}", _AGG[s.func](_value(s)).over(w))
-    cond = [F.col(_PID) == F.col("__cpid")] + [
-        F.col(k).eqNullSafe(F.col(f"__ck_{i}")) for i, k in enumerate(keys)
-    ]
-    out = out.join(F.broadcast(carry), on=cond, how="left").drop(
-        "__cpid", *[f"__ck_{i}" for i in range(len(keys))]
-    )
+    cond = [F.col(_B) == F.col("__cb")] + [F.col(k).eqNullSafe(F.col(f"__ck_{i}")) for i, k in enumerate(keys)]
+    out = out.join(F.broadcast(carry), on=cond, how="left").drop("__cb", *[f"__ck_{i}" for i in range(len(keys))])
     for s in specs:
         loc, car = F.col(f"__local_{s.out}"), F.col(f"__carry_{s.out}")
         if s.func in ("count", "sum"):
@@ -97,12 +158,10 @@ def running(
         else:
             val = F.greatest(loc, car)
         out = out.withColumn(s.out, val).drop(f"__local_{s.out}", f"__carry_{s.out}")
-    return out.drop(_PID)
+    return out.drop(_B)
 
 
-def row_positions(
-    df: DataFrame, keys: list[str], order: list, out: str = "pos", base: int = 0
-) -> DataFrame:
+def row_positions(df: DataFrame, keys: list[str], order: list, out: str = "pos", base: int = 0) -> DataFrame:
     """``row_number() over (partition by keys order by order) - 1 + base``
     computed skew-safely; ``keys=[]`` gives a global dense position."""
     res = running(df, keys, order, [Running("__rn", "count")])

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import FIRST_TOKEN_ID, PAD_ID, UNK_ID
-from .positions import row_positions
+from .positions import desc, row_positions
 
 
 def token_counts(df: DataFrame, tokens_col: str) -> DataFrame:
@@ -33,7 +33,7 @@ def build_vocab(
     falling frequency, ties by token; ``max_tokens`` caps the id space
     (ids 0 .. max_tokens - 1) like a vectoriser's ``max_tokens``."""
     counts = token_counts(df, tokens_col)
-    ranked = row_positions(counts, [], [F.col("freq").desc(), F.col("token")], out="rank")
+    ranked = row_positions(counts, [], [desc("freq"), "token"], out="rank")
     out = ranked.select("token", "freq", (F.col("rank") + first_id).cast("int").alias("id"))
     if max_tokens is not None:
         out = out.where(F.col("id") < max_tokens)
@@ -74,9 +74,11 @@ def decode(
     ids missing from the vocabulary are left out."""
     exploded = df.select(*key, F.posexplode_outer(ids_col).alias("pos", "id"))
     skip = F.array(*[F.lit(i) for i in skip_ids])
-    exploded = exploded.where(F.col("id").isNull() | ~F.array_contains(skip, F.col("id")))
     joined = exploded.join(vocab.select("id", "token"), "id", "left")
-    entry = F.when(F.col("token").isNotNull(), F.struct("pos", "token"))
+    # rows are never filtered out, so a sequence of only skipped ids still
+    # yields its key (with an empty text)
+    keep = F.col("token").isNotNull() & ~F.array_contains(skip, F.col("id"))
+    entry = F.when(keep, F.struct("pos", "token"))
     grouped = joined.groupBy(*key).agg(F.collect_list(entry).alias("__e"))
     return grouped.select(
         *key, F.array_join(F.transform(F.array_sort("__e"), lambda e: e["token"]), " ").alias(out)

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import measure as me
+from ..operators.positions import desc
 from . import fixtures as fx
 from .q_text import COUNTED_SQL, counted_p
 from .registry import cte, query, sql_clean, sql_ratio, sql_wc
 
 def ratio_desc():
-    return [F.col("ratio").desc(), F.col("row_id")]
+    return [desc("ratio"), "row_id"]
 
 SIDES = {"src": "src_words", "tgt": "tgt_words"}
 
@@ -50,7 +51,7 @@ def q_tail_rows(spark, d):
     + "SELECT row_id, src_words, tgt_words, ratio FROM c ORDER BY ratio DESC, row_id LIMIT 20",
 )
 def q_topk_ratio(spark, d):
-    return me.top_k(counted_p(spark, d), 20, ratio_desc()).select("row_id", "src_words", "tgt_words", "ratio")
+    return me.top_k(counted_p(spark, d), 20, [F.col("ratio").desc(), F.col("row_id")]).select("row_id", "src_words", "tgt_words", "ratio")
 
 
 def _hist_sql(bins: int, limit: int) -> str:
