@@ -45,11 +45,21 @@ def assign_params(runs: DataFrame, run_col: str = "run_id", dims: dict = GRID_DI
     return out
 
 
+def value_text(col: Column, is_float: bool) -> Column:
+    """Plain decimal text of a value (``0.0001``, not ``1.0E-4``): up to 10
+    decimals, trailing zeros dropped, at least one decimal for floats."""
+    if not is_float:
+        return col.cast("string")
+    t = F.regexp_replace(F.format_string("%.10f", col), "0+$", "")
+    return F.when(F.endswith(t, F.lit(".")), F.concat(t, F.lit("0"))).otherwise(t)
+
+
 def experiment_key(dims=tuple(GRID_DIMS)) -> Column:
     """STR18: ``name=value`` pairs joined by ``_`` (null -> 'None')."""
-    parts = [
-        F.concat(F.lit(f"{d}="), F.coalesce(F.col(d).cast("string"), F.lit("None"))) for d in dims
-    ]
+    parts = []
+    for d in dims:
+        is_float = any(isinstance(v, float) for v in GRID_DIMS.get(d, []))
+        parts.append(F.concat(F.lit(f"{d}="), F.coalesce(value_text(F.col(d), is_float), F.lit("None"))))
     return F.concat_ws("_", *parts)
 
 

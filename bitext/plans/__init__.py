@@ -1,6 +1,6 @@
 """Registered queries (Spark plan + DuckDB oracle SQL per query)."""
 
-from . import q_bleu, q_measure, q_split, q_text, q_vocab  # noqa: F401  (registration side effects)
+from . import q_bleu, q_experiments, q_measure, q_metrics, q_split, q_text, q_vocab  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
