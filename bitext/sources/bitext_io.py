@@ -51,13 +51,12 @@ def read_bitext_csv(
     """SRC1 + SRC4: read a two-column CSV (quoted, embedded commas and
     newlines) and map its columns to ``src``/``tgt``.
 
-    Without an id column the row id is the record's position in the file,
-    taken from the file offset order of Spark's CSV scan (monotonic ids are
-    then renumbered densely per file only when ``id_col`` is absent)."""
-    cols = [src_col, tgt_col] + ([id_col] if id_col else [])
-    schema = T.StructType([T.StructField(c, T.StringType(), True) for c in cols])
-    df = _csv_reader(spark, schema).csv(path)
-    check_columns(df, [src_col, tgt_col])
+    Without an id column the row id is Spark's monotonically increasing id
+    of the scan: unique and increasing in file order, not dense."""
+    # no schema: every column is read as a string under its header name, so
+    # the file's column order does not matter (a positional schema would)
+    df = _csv_reader(spark).csv(path)
+    check_columns(df, [src_col, tgt_col] + ([id_col] if id_col else []))
     rid = F.col(id_col).cast("long") if id_col else F.monotonically_increasing_id()
     return df.select(
         rid.alias("row_id"), F.lit(corpus).alias("corpus"),

@@ -9,7 +9,8 @@ from ..operators.positions import row_positions
 
 
 def unquote_csv_line(col) -> Column:
-    """A line written by a CSV writer: ``"a, b ""c"""`` -> ``a, b "c"``."""
+    """Decode a line that a CSV writer quoted: drop the outer quotes and turn
+    each doubled quote back into one."""
     c = F.col(col) if isinstance(col, str) else col
     quoted = F.startswith(c, F.lit('"')) & F.endswith(c, F.lit('"')) & (F.length(c) >= 2)
     inner = c.substr(F.lit(2), F.length(c) - F.lit(2))
@@ -17,16 +18,18 @@ def unquote_csv_line(col) -> Column:
 
 
 def read_lines(spark: SparkSession, path: str, quoted: bool = False) -> DataFrame:
-    """``line_no`` (0-based, per file) and ``text``.
+    """``line_no`` (0-based over the file, or over a folder of part files in
+    name order) and ``text``.
 
     Line numbers come from the scan order: ``monotonically_increasing_id``
-    grows with the file offset inside a file, and a skew-safe dense
-    position per file turns it into 0, 1, 2, ... without one task per file.
+    grows with the offset inside a file, and a skew-safe dense position over
+    (file name, id) turns it into 0, 1, 2, ... without one task holding all
+    lines.
     """
     raw = spark.read.text(path).select(
         F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("mid"), "value"
     )
-    pos = row_positions(raw, ["file"], ["mid"], out="line_no")
+    pos = row_positions(raw, [], ["file", "mid"], out="line_no")
     text = unquote_csv_line("value") if quoted else F.col("value")
     return pos.select("file", "line_no", text.alias("text"))
 
