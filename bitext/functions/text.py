@@ -122,16 +122,13 @@ def cut_at_marker(col, marker: str = END_MARK) -> Column:
 def standardize_words(col, protect=(START_MARK, END_MARK)) -> Column:
     """STR16: lower-case and strip ASCII punctuation, keeping the markers
     whole (so ``[start]`` stays a token instead of turning into ``start``)."""
-    c = F.lower(_c(col))
-    toks = words(c)
-    prot = F.array(*[F.lit(p) for p in protect])
-    stripped = F.transform(
-        toks,
-        lambda t: F.when(F.array_contains(prot, t), t).otherwise(
-            F.regexp_replace(t, ASCII_PUNCT_CLASS, "")
-        ),
-    )
-    return F.filter(stripped, lambda t: t != "")
+    # one regex pass over the row: a whole-word marker is matched first and
+    # written back ($1); any other punctuation character matches the second
+    # alternative, where group 1 is unset and the replacement is empty
+    alts = "|".join(_regex_quote(p) for p in protect)
+    marker = rf"(?<![^ \t\n\x0B\f\r])({alts})(?![^ \t\n\x0B\f\r])"
+    stripped = F.regexp_replace(F.lower(_c(col)), rf"{marker}|{ASCII_PUNCT_CLASS}", "$1")
+    return words(stripped)
 
 
 def pretokenize(col, protect=(START_MARK, END_MARK)) -> Column:

@@ -14,6 +14,18 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 
 
+def keep_where(df: DataFrame, cond: Column) -> DataFrame:
+    """``df.where(cond)`` for a condition on *computed* columns.
+
+    A plain filter is pushed below the projection that computes its columns,
+    with the expressions copied into it, so a regex chain would run twice per
+    row.  Evaluated as a generator (zero or one output row per input row) the
+    condition reads the projected values instead: the projection and the
+    check stay in one codegen stage and every expression runs once."""
+    keep = F.when(cond, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>"))
+    return df.withColumn("__keep", F.explode(keep)).drop("__keep")
+
+
 def apply_text(df: DataFrame, cols: Iterable[str], fn: Callable[[Column], Column]) -> DataFrame:
     """UDF1: apply a Column -> Column function to every listed text column."""
     return df.withColumns({c: fn(F.col(c)) for c in cols})
@@ -37,7 +49,10 @@ def clean_corpus(df: DataFrame, cols=("src", "tgt")) -> DataFrame:
     became empty (the reference only filtered before cleaning)."""
     out = drop_empty_pairs(df, cols)
     out = apply_text(out, cols, tx.clean_text)
-    return drop_empty_pairs(out, cols)
+    nonempty = F.lit(True)
+    for c in cols:
+        nonempty = nonempty & (F.col(c) != "")
+    return keep_where(out, nonempty)
 
 
 def with_word_counts(df: DataFrame, src: str = "src", tgt: str = "tgt") -> DataFrame:
@@ -49,13 +64,13 @@ def with_word_counts(df: DataFrame, src: str = "src", tgt: str = "tgt") -> DataF
 
 def min_words(df: DataFrame, k: int, src: str = "src", tgt: str = "tgt") -> DataFrame:
     """FLT3: keep pairs with at least ``k`` words on both sides."""
-    return df.where((tx.word_count(src) >= k) & (tx.word_count(tgt) >= k))
+    return keep_where(df, (tx.word_count(src) >= k) & (tx.word_count(tgt) >= k))
 
 
 def ratio_filter(df: DataFrame, lo: float = 0.75, hi: float = 1.25) -> DataFrame:
     """FLT4: keep pairs whose word ratio lies in [lo, hi] (both inclusive)."""
     counted = df if "ratio" in df.columns else with_word_counts(df)
-    return counted.where(F.col("ratio").between(lo, hi))
+    return keep_where(counted, F.col("ratio").between(lo, hi))
 
 
 def length_ratio_clean(
@@ -66,4 +81,4 @@ def length_ratio_clean(
     ok = a.between(lo, hi) & b.between(lo, hi) & (
         F.greatest(a, b).cast("double") <= F.lit(ratio) * F.least(a, b).cast("double")
     )
-    return df.where(ok)
+    return keep_where(df, ok)

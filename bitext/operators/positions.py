@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -124,7 +125,9 @@ def running(
 ) -> DataFrame:
     """Add one column per spec: the running aggregate over rows of the same
     ``keys`` in ``order`` (must be a total order within a key)."""
-    ranged = with_buckets(df, keys, order, buckets)
+    # the input feeds the boundary sample, the summary and the main branch:
+    # persist it so the upstream plan runs once
+    ranged = with_buckets(df.persist(StorageLevel.MEMORY_AND_DISK), keys, order, buckets)
 
     # 1. one summary row per (bucket, key): partial aggregates
     summary = ranged.groupBy(_B, *keys).agg(*[_AGG[s.func](_value(s)).alias(s.out) for s in specs])
