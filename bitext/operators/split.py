@@ -77,21 +77,30 @@ def recipe_set1(a: DataFrame, b: DataFrame, seed) -> DataFrame:
 
 def recipe_set2(a: DataFrame, b: DataFrame, seed, n_valid: int, n_test: int) -> DataFrame:
     """SPL6: train = all B + |B| rows of A; valid/test = absolute sizes from
-    the rest of A."""
+    the rest of A.
+
+    The rest of A in draw order is the draw order of A after its first |B|
+    rows, so one positions pass over A labels all three slices (no anti-join,
+    no second draw)."""
     n_b = b.count()
-    drawn = sample_exact(a, n_b, seed)
-    rest = remaining(a, drawn)
-    train = b.unionByName(drawn).withColumn("split", F.lit("train"))
-    return train.unionByName(split_counts(rest, seed, [n_valid, n_test], ["valid", "test"]))
+    sliced = split_counts(a, seed, [n_b, n_valid, n_test], ["train", "valid", "test"])
+    return b.withColumn("split", F.lit("train")).unionByName(sliced)
 
 
 def recipe_set3(a: DataFrame, b: DataFrame, seed, n_a: int, n_b: int) -> DataFrame:
-    """SPL7: train = n_a of A + n_b of B; valid = rest of A; test = rest of B."""
-    ta, tb = sample_exact(a, n_a, seed), sample_exact(b, n_b, seed)
-    train = ta.unionByName(tb).withColumn("split", F.lit("train"))
-    valid = remaining(a, ta).withColumn("split", F.lit("valid"))
-    test = remaining(b, tb).withColumn("split", F.lit("test"))
-    return train.unionByName(valid).unionByName(test)
+    """SPL7: train = n_a of A + n_b of B; valid = rest of A; test = rest of B.
+
+    One positions pass keyed by the side (A or B) draws both samples."""
+    both = a.withColumn("__side", F.lit(0)).unionByName(b.withColumn("__side", F.lit(1)))
+    h = both.withColumn("__h", stable_hash(seed, *KEY))
+    pos = row_positions(h, ["__side"], ["__h", *KEY], out="__p")
+    label = (
+        F.when((F.col("__side") == 0) & (F.col("__p") < n_a), F.lit("train"))
+        .when(F.col("__side") == 0, F.lit("valid"))
+        .when(F.col("__p") < n_b, F.lit("train"))
+        .otherwise(F.lit("test"))
+    )
+    return pos.withColumn("split", label).drop("__side", "__h", "__p")
 
 
 def union_corpora(*dfs: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ under the broadcast threshold and a skew-split sort-merge join otherwise.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,6 +98,8 @@ def dictionary_report(splits: DataFrame, sides: dict[str, str], train: str = "tr
             F.array(*[F.struct(F.lit(s).alias("side"), F.col(c).alias("toks")) for s, c in sides.items()])
         ).alias("x"),
     ).select("split", "x.side", "x.toks")
+    # feeds three branches (vocabulary, unknown tokens, sentence counts)
+    long = long.persist(StorageLevel.MEMORY_AND_DISK)
     toks = long.select("split", "side", F.explode("toks").alias("token"))
     vocab = toks.where(F.col("split") == train).select("side", "token").distinct()
     types = vocab.groupBy("side").agg(F.count(F.lit(1)).alias("types"))
