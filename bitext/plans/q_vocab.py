@@ -3,6 +3,7 @@ batches, dictionary report (AGG5-7, ARR1-9, FLT6-7, FLT9-10, STR15)."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..functions import ids as idf
@@ -67,12 +68,14 @@ def tokens(spark, d):
     return p.select("row_id", tx.standardize_words(tx.wrap_markers("tgt")).alias("toks"))
 
 
-def vocab(spark, d, cap=MAX_TOKENS):
-    return vb.build_vocab(tokens(spark, d), "toks", max_tokens=cap)
+def vocab(spark, d, cap=MAX_TOKENS, toks=None):
+    return vb.build_vocab(toks if toks is not None else tokens(spark, d), "toks", max_tokens=cap)
 
 
 def encoded(spark, d, cap=MAX_TOKENS, drop_oov=False):
-    return vb.encode(tokens(spark, d), ["row_id"], "toks", vocab(spark, d, cap), drop_oov=drop_oov)
+    # the token table feeds the vocabulary and the encoding: build it once
+    toks = tokens(spark, d).persist(StorageLevel.MEMORY_AND_DISK)
+    return vb.encode(toks, ["row_id"], "toks", vocab(spark, d, cap, toks), drop_oov=drop_oov)
 
 
 def padded(spark, d):

@@ -67,3 +67,15 @@ def test_unwrap_and_cut(spark):
     assert _one(spark, "[start] a b [end]", tx.unwrap_markers) == "a b"
     assert _one(spark, "no markers", tx.unwrap_markers) == "no markers"
     assert _one(spark, "a b [end] c [end]", tx.cut_at_marker) == "a b"
+
+
+def test_chain_without_rejoin_equals_full_chain(spark):
+    """STR6 is the identity after STR1-5: check it on every line of sf0.001."""
+    from bitext.plans.fixtures import noisy_lines
+
+    from conftest import SF_SMALL
+
+    p = noisy_lines(spark, SF_SMALL)
+    for c in ("src", "tgt"):
+        diff = p.where(tx.clean_text(c) != tx.rejoin_words(tx.clean_text(c))).count()
+        assert diff == 0
