@@ -82,3 +82,12 @@ def length_ratio_clean(
         F.greatest(a, b).cast("double") <= F.lit(ratio) * F.least(a, b).cast("double")
     )
     return keep_where(df, ok)
+
+
+def assert_fixed_length(df: DataFrame, col: str, length: int) -> DataFrame:
+    """ARR5: raise if any array in ``col`` is not exactly ``length`` long
+    (one bounded probe job: at most one offending row reaches the driver)."""
+    bad = df.where(F.size(col) != length).select(F.size(col).alias("n")).limit(1).collect()
+    if bad:
+        raise ValueError(f"{col}: expected arrays of length {length}, found {bad[0]['n']}")
+    return df

@@ -71,3 +71,31 @@ def test_unequal_line_counts_raise(spark):
         f.write("1\n")
     with pytest.raises(ValueError):
         read_aligned(spark, os.path.join(d, "a.txt"), os.path.join(d, "b.txt"))
+
+
+def test_save_datasets_and_append(spark):
+    from bitext.sources.bitext_io import append_results
+    from bitext.sources.lines import save_datasets
+
+    rows = [(i, "ai", f"s {i}", f"t, {i}", ["train", "valid", "test"][i % 3]) for i in range(30)]
+    df = spark.createDataFrame(rows, "row_id long, corpus string, src string, tgt string, split string")
+    out = _tmp()
+    save_datasets(df, out, "set3")
+    back = spark.read.parquet(f"{out}/set3.parquet")
+    assert back.count() == 30 and {r.split for r in back.select("split").distinct().collect()} == {"train", "valid", "test"}
+    lines = spark.read.text(f"{out}/set3_valid.tgt").collect()
+    assert sorted(r.value for r in lines) == sorted(f"t, {i}" for i in range(30) if i % 3 == 1)
+    res = spark.createDataFrame([(3, 0.1)], "patience int, bleu double")
+    append_results(res, f"{out}/results")
+    append_results(res, f"{out}/results")
+    assert spark.read.parquet(f"{out}/results").count() == 2
+
+
+def test_fixed_length_assertion(spark):
+    from bitext.operators.clean import assert_fixed_length
+
+    ok = spark.createDataFrame([([1, 2, 0],), ([3, 0, 0],)], "ids array<int>")
+    assert_fixed_length(ok, "ids", 3)
+    bad = spark.createDataFrame([([1, 2],)], "ids array<int>")
+    with pytest.raises(ValueError):
+        assert_fixed_length(bad, "ids", 3)
