@@ -38,6 +38,7 @@ _B = "__bucket"
 SAMPLE_PER_BUCKET = 64
 MAX_SAMPLE = 1_000_000
 SAMPLE_SEED = 20240101
+MIN_ROWS_PER_BUCKET = 10_000
 
 
 @dataclass(frozen=True)
@@ -105,6 +106,9 @@ def with_buckets(df: DataFrame, keys: list[str], order: list, buckets: int | Non
     size = min(MAX_SAMPLE, SAMPLE_PER_BUCKET * n)
     sample = keyed.select("__sk").orderBy(F.rand(SAMPLE_SEED)).limit(size).orderBy("__sk").collect()
     dtype = keyed.schema["__sk"].dataType
+    if len(sample) < size:
+        # the sample is the whole input: size the buckets to it
+        n = max(1, min(n, len(sample) // MIN_ROWS_PER_BUCKET))
     picks = []
     if sample and n > 1:
         step = len(sample) / n
