@@ -31,3 +31,36 @@ def test_grid_is_full_product(spark):
     assert grid.count() == 288
     assert grid.select("key").distinct().count() == 288
     assert res.select(ex.experiment_key().alias("k")).first().k.startswith("patience=3_units=128_learning_rate=0.001_")
+
+
+def test_early_stop_hot_run_matches_window_brute_force(spark):
+    """One run holds most epochs; the scans split it over many buckets."""
+    import random
+
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(11)
+    rows = []
+    for run, n in [(0, 2500), (1, 40), (2, 300), (3, 7)]:
+        best = 10.0
+        for e in range(1, n + 1):
+            v = round(best + rnd.uniform(-0.3, 0.6), 2)
+            best = min(best, v)
+            rows.append((run, e, v * 0.9, v))
+    h = spark.createDataFrame(rows, "run_id long, epoch int, loss double, val_loss double")
+    got = {r.run_id: r for r in ex.early_stop(h, (3, 10, 5000)).collect()}
+    w = Window.partitionBy("run_id").orderBy("epoch")
+    a = h.withColumn("pm", F.min("val_loss").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    a = a.withColumn(
+        "li", F.max(F.when(F.col("pm").isNull() | (F.col("val_loss") < F.col("pm")), F.col("epoch"))).over(
+            w.rowsBetween(Window.unboundedPreceding, 0)
+        )
+    )
+    exp = a.groupBy("run_id").agg(
+        F.max("epoch").alias("last_epoch"),
+        *[F.min(F.when(F.col("epoch") - F.col("li") >= p, F.col("epoch"))).alias(f"stop_p{p}") for p in (3, 10, 5000)],
+    )
+    for r in exp.collect():
+        g = got[r.run_id]
+        assert (g.last_epoch, g.stop_p3, g.stop_p10, g.stop_p5000) == (r.last_epoch, r.stop_p3, r.stop_p10, r.stop_p5000)
