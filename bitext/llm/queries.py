@@ -9,12 +9,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitext.llm import bpe_codec, chat_windows, decontaminate, exact_dedup, simhash
+from bitext.llm import bpe_codec, chat_windows, decontaminate, exact_dedup, simhash, token_store
 from bitext.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+WORDS_FILE = "word_bpe_49k.json"
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -167,3 +168,11 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("bytes", 256).alias("decoded_sha256"),
     )
+
+
+@_query
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    store = token_store.write_store(docs, public_tokenizers.path(WORDS_FILE), end_id=2)
+    read = token_store.read_store(spark, store)
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
