@@ -9,7 +9,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitext.llm import bpe_codec, chat_windows, decontaminate, exact_dedup, simhash, token_store
+from bitext.llm import (
+    bpe_codec,
+    chat_windows,
+    decontaminate,
+    exact_dedup,
+    quality,
+    simhash,
+    token_store,
+    toxicity,
+)
+from bitext.llm.common import held_out
 from bitext.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,6 +160,22 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def _scored(scored: DataFrame, at_least: float) -> DataFrame:
+    return scored.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= at_least).cast("int").alias("predicted"),
+    )
+
+
+@_query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return _scored(toxicity.with_score(docs, model), toxicity.TOXIC_SCORE)
+
+
 @_query
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_dups(table(spark, sf_dir, "documents"), shingle=4, radius=4)
@@ -157,6 +183,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+@_query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return _scored(quality.with_score(docs, model), quality.PASS_SCORE)
+
+
 @_query
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
