@@ -14,6 +14,7 @@ from bitext.llm import (
     chat_windows,
     decontaminate,
     exact_dedup,
+    language_id,
     quality,
     simhash,
     token_store,
@@ -176,6 +177,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(toxicity.with_score(docs, model), toxicity.TOXIC_SCORE)
 
 
+@_query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language_id.fit(table(spark, sf_dir, "documents"))
+    found = language_id.identify(table(spark, sf_dir, "pages"), model)
+    return found.withColumn("confidence", F.round("confidence", 6))
+
+
 @_query
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_dups(table(spark, sf_dir, "documents"), shingle=4, radius=4)

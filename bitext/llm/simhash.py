@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitext.llm.common import byte_texts, fresh, stored
+from bitext.llm.common import byte_texts, fresh, stored, text_of
 
 BITS = 64
 SEED = 42
@@ -61,15 +61,19 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp holds the 64 bits as a signed long."""
+    """(doc_id, text_hash, fp): fp holds the 64 bits as a signed long."""
 
     def run(batches):
         for batch in batches:
-            fps = np.array([fingerprint(t, shingle) for t in byte_texts(batch.column(1))], "<u8")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view("<i8"))], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t, shingle) for t in byte_texts(batch.column(2))], "<u8")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(fps.view("<i8"))], names=["doc_id", "text_hash", "fp"]
+            )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("text_hash"), text_of(text_col)
+    )
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def cover_masks(radius: int, seed: int) -> list[int]:
@@ -190,33 +194,42 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _grouped(
+    docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with fingerprints, the root of each fingerprint, and of each root the
+    first row: the least id (null last), then the least text hash."""
+    marked = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    points = stored(marked.groupBy("fp").agg(F.min(first).alias("first")), "points")
+    # the graph's nodes are fingerprints, not documents
+    member = components(links(points.select("fp"), radius))
+    rooted = points.join(member.withColumnRenamed("node", "fp"), "fp", "left")
+    rooted = stored(rooted.withColumn("root", F.coalesce("root", "fp")), "rooted")
+    return marked, rooted.select("fp", "root"), rooted.groupBy("root").agg(F.min("first").alias("first"))
+
+
 def near_dups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS
 ) -> DataFrame:
     """doc_id, fp, component_id: one row per row of ``docs``."""
-    marked = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    points = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "points")
-    # the graph's nodes are fingerprints; a component's id is its least document
-    member = components(links(points.select("fp"), radius))
-    rooted = points.join(member.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "root", F.coalesce("root", "fp")
-    )
-    of_root = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_point = rooted.join(of_root, "root").select("fp", "component_id")
-    return marked.join(of_point, "fp").select("doc_id", "fp", "component_id")
+    marked, rooted, roots = _grouped(docs, id_col, text_col, shingle, radius)
+    named = rooted.join(roots, "root").select("fp", F.col("first.doc_id").alias("component_id"))
+    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS
 ) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's; of rows with an equal
-    id one is kept, as is one row of a component without ids."""
-    found = near_dups(docs, id_col, text_col, shingle, radius)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    """Of each component the first row (least id, then least text hash); of rows
+    equal in id and text any one."""
+    _, _, roots = _grouped(docs, id_col, text_col, shingle, radius)
+
+    def name(doc_id: Column, text_hash: Column) -> Column:
+        return F.concat_ws(":", doc_id.cast("long").cast("string"), text_hash.cast("string"))
+
     key, pick = fresh(docs, "row_key"), fresh(docs, "row_pick")
-    # a null id stands for its component, told apart by the fingerprint's text
-    keep = keep.select("doc_id").distinct().select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(key))
-    hit = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")))
-    hit = hit.join(keep, key, "left_semi")
+    keep = roots.select(name(F.col("first.doc_id"), F.col("first.text_hash")).alias(key)).distinct()
+    hit = docs.withColumn(key, name(F.col(id_col), F.xxhash64(text_of(text_col)))).join(keep, key, "left_semi")
     nth = F.row_number().over(Window.partitionBy(key).orderBy(key))
     return hit.withColumn(pick, nth).filter(F.col(pick) == 1).drop(key, pick)
