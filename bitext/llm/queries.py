@@ -17,6 +17,7 @@ from bitext.llm import (
     language_id,
     quality,
     simhash,
+    suffix_dedup,
     token_store,
     toxicity,
 )
@@ -177,6 +178,19 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(toxicity.with_score(docs, model), toxicity.TOXIC_SCORE)
 
 
+@_query
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    sizes = F.transform("removed", lambda s: s["past"] - s["first"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.aggregate(sizes, F.lit(0).cast("long"), lambda a, b: a + b).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @_query
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.fit(table(spark, sf_dir, "documents"))
