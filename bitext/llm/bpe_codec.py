@@ -36,8 +36,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CACHE = 600_000
-CHUNK_CHARS = 8_000_000
+CACHE = 200_000
+CHUNK_CHARS = 2_000_000
+_ROWS = 500  # rows of an Arrow batch that are in work at once
 _WIDE = 12  # positions from which a bucket is emptied by array operations
 
 
@@ -362,6 +363,12 @@ def _encoder(tokens: list[bytes], pattern: str) -> Encoder:
     return _ENCODERS[key]
 
 
+def _parts(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, _ROWS):
+            yield batch.slice(at, _ROWS)
+
+
 def with_ids(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` and a binary column of ids (little-endian, 4 bytes each).  The
     vocabulary is the driver's file, broadcast (under a MB)."""
@@ -370,7 +377,7 @@ def with_ids(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "te
 
     def run(batches):
         coder = _encoder(tokens.value, pattern)
-        for batch in batches:
+        for batch in _parts(batches):
             texts = [x or "" for x in batch.column(at).to_pylist()]
             ids = pa.array(coder.encode(texts), pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, out])
@@ -385,7 +392,7 @@ def with_bytes(coded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "
 
     def run(batches):
         vocabulary = tokens.value
-        for batch in batches:
+        for batch in _parts(batches):
             rows = (np.frombuffer(x or b"", "<u4").tolist() for x in batch.column(at).to_pylist())
             raw = pa.array([b"".join(map(vocabulary.__getitem__, ids)) for ids in rows], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, raw], names=[*batch.schema.names, out])
