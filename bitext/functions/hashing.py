@@ -21,7 +21,3 @@ def stable_hash(seed, *keys) -> Column:
     digest = F.md5(F.concat(*parts))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
 
-
-def unit_hash(seed, *keys) -> Column:
-    """``stable_hash`` scaled to [0, 1)."""
-    return stable_hash(seed, *keys) / F.lit(float(2**32))

@@ -58,8 +58,3 @@ def strip_values(col, values) -> Column:
     other elements are kept, unlike ``array_except``)."""
     vals = F.array(*[F.lit(v) for v in values])
     return F.filter(_c(col), lambda x: ~F.array_contains(vals, x))
-
-
-def fixed_length_violations(col, length: int) -> Column:
-    """ARR5 predicate: rows whose array is not exactly ``length`` long."""
-    return F.size(_c(col)) != length

@@ -136,10 +136,16 @@ def standardize_words(col, protect=(START_MARK, END_MARK)) -> Column:
     return words(stripped)
 
 
+# Unicode classes that Java and RE2 both know: word characters and white space.
+WORD_CLASS = r"\p{L}\p{N}\p{M}_"
+SPACE_CLASS = r"\t-\r\x{85}\p{Z}"
+
+
 def pretokenize(col, protect=(START_MARK, END_MARK)) -> Column:
-    """STR17: word runs and punctuation runs; markers kept whole."""
+    """STR17: word runs (letters, digits and marks of any script) and runs of
+    other visible characters; markers kept whole."""
     alts = "|".join(_regex_quote(p) for p in protect)
-    return F.regexp_extract_all(_c(col), F.lit(rf"{alts}|\w+|[^\w\s]+"), 0)
+    return F.regexp_extract_all(_c(col), F.lit(rf"{alts}|[{WORD_CLASS}]+|[^{WORD_CLASS}{SPACE_CLASS}]+"), 0)
 
 
 def _regex_quote(s: str) -> str:

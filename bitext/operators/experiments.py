@@ -5,17 +5,16 @@ running minimum per run; that runs through ``positions.running`` (range
 partitions + bounded carry), so a run with a huge history is spread over
 many tasks.  Everything after it is a partial aggregation per run.
 
-The parameter grid is the product of each dimension's distinct values,
-generated from one aggregated row with ``explode(sequence(...))`` and
-mixed-radix indexing: no join, and its size is the product of the (small)
-dimension cardinalities, checked before it is built.
+The parameter grid is the product of value lists, given or found in results,
+generated by ``spark.range`` and mixed-radix indexing: no join, no single
+task, any size.  Its order is the product order (last dimension fastest).
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from math import prod
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .positions import Running, running
@@ -30,7 +29,6 @@ GRID_DIMS = {
     "activation": ["relu", "tanh"],
     "regularizer": [None, "l2"],
 }
-MAX_GRID = 1_000_000
 
 
 def assign_params(runs: DataFrame, run_col: str = "run_id", dims: dict = GRID_DIMS) -> DataFrame:
@@ -63,27 +61,31 @@ def experiment_key(dims=tuple(GRID_DIMS)) -> Column:
     return F.concat_ws("_", *parts)
 
 
+def grid_from_values(spark: SparkSession, values: dict[str, list], types: dict[str, str] | None = None) -> DataFrame:
+    """EXP1/JOI3: the product of value lists, before any result exists: grid_idx
+    (0-based, in product order), the dimensions and the key.  None is a value."""
+    total = prod(len(v) for v in values.values())
+    grid, stride = spark.range(total).withColumnRenamed("id", "grid_idx"), total
+    for name, items in values.items():
+        stride //= max(1, len(items))
+        digit = F.expr(f"grid_idx div {max(1, stride)}") % max(1, len(items))
+        value = F.element_at(F.array(*[F.lit(v) for v in items]), (digit + 1).cast("int"))
+        grid = grid.withColumn(name, value.cast(types[name]) if types else value)
+    return grid.withColumn("key", experiment_key(tuple(values)))
+
+
+def dimension_values(results: DataFrame, dims=tuple(GRID_DIMS)) -> dict[str, list]:
+    """The distinct values per dimension, sorted, nulls last; as many rows reach
+    the driver as the dimensions have values."""
+    seen = F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("v")) for d in dims]))
+    rows = results.select(seen.alias("x")).select("x.*").distinct().collect()
+    return {d: sorted((r["v"] for r in rows if r["dim"] == d), key=lambda v: (v is None, v or "")) for d in dims}
+
+
 def param_grid(results: DataFrame, dims=tuple(GRID_DIMS)) -> DataFrame:
     """EXP1/JOI3: product of the distinct values seen per dimension, with a
     grid index and key.  Nulls are values too (``regularizer``)."""
-    vals = results.agg(
-        *[F.array_sort(F.collect_set(F.coalesce(F.col(d).cast("string"), F.lit("\u0000")))).alias(d) for d in dims]
-    )
-    sizes = vals.select(*[F.size(d).alias(d) for d in dims]).first()
-    total = reduce(lambda a, b: a * b, [sizes[d] for d in dims], 1)
-    if total > MAX_GRID:
-        raise ValueError(f"grid of {total} points exceeds {MAX_GRID}")
-    idx = vals.select(*dims, F.explode(F.sequence(F.lit(0), F.lit(total - 1))).alias("grid_idx"))
-    stride, cols = 1, []
-    for d in dims:
-        digit = (F.col("grid_idx") / F.lit(stride)).cast("long") % F.size(d)
-        v = F.element_at(F.col(d), (digit + 1).cast("int"))
-        cols.append(F.when(v == "\u0000", F.lit(None)).otherwise(v).alias(d))
-        stride *= sizes[d]
-    typed = idx.select("grid_idx", *cols)
-    types = dict(results.select(*dims).dtypes)
-    typed = typed.select("grid_idx", *[F.col(d).cast(types[d]).alias(d) for d in dims])
-    return typed.withColumn("key", experiment_key(dims))
+    return grid_from_values(results.sparkSession, dimension_values(results, dims), dict(results.select(*dims).dtypes))
 
 
 def early_stop(history: DataFrame, patiences=(3,)) -> DataFrame:

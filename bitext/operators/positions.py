@@ -3,9 +3,9 @@
 ``Window.partitionBy(key)`` puts every row of a key into one task, which is
 what a hot key (a third of all rows) cannot afford.  Instead:
 
-1. A bounded random sample of the sort key ``(keys, order)`` gives up to
-   ``n - 1`` range boundaries (``orderBy(rand).limit`` is a distributed
-   top-k, so the sample never exceeds its size).
+1. The row count gives the number of buckets, and a hashed Bernoulli sample
+   of the sort key ``(keys, order)``, about ``SAMPLE_PER_BUCKET`` rows a
+   bucket, gives the range boundaries (no sort, no single task).
 2. Each row gets a *bucket*: the number of boundaries below its sort key,
    found by a balanced CASE tree (log n comparisons).  The bucket is a pure
    function of the row, so every branch of the plan and every re-executed
@@ -32,13 +32,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import shuffle_partitions
-
 _B = "__bucket"
 SAMPLE_PER_BUCKET = 64
-MAX_SAMPLE = 1_000_000
-SAMPLE_SEED = 20240101
-MIN_ROWS_PER_BUCKET = 10_000
+ROWS_PER_BUCKET = 250_000
+MAX_BUCKETS = 4096          # beyond, buckets grow; a window over one spills
+_SAMPLE_STEPS = 1 << 30
 
 
 @dataclass(frozen=True)
@@ -99,21 +97,25 @@ def _bucket_expr(key: Column, bounds: list[Column], lo: int, hi: int) -> Column:
     )
 
 
+def _driver_order(row) -> tuple:
+    """The order of Spark's structs: nulls first, strings by their bytes."""
+    return tuple((v is not None, v.encode() if isinstance(v, str) else 0 if v is None else v) for v in row)
+
+
 def with_buckets(df: DataFrame, keys: list[str], order: list, buckets: int | None = None) -> DataFrame:
     """Add ``__bucket``: an order-preserving range bucket of (keys, order)."""
-    n = buckets or shuffle_partitions(df.sparkSession)
     keyed = df.withColumn("__sk", _sort_key(df, keys, order))
-    size = min(MAX_SAMPLE, SAMPLE_PER_BUCKET * n)
-    sample = keyed.select("__sk").orderBy(F.rand(SAMPLE_SEED)).limit(size).orderBy("__sk").collect()
+    rows = df.count()
+    n = buckets or max(1, min(MAX_BUCKETS, -(-rows // ROWS_PER_BUCKET)))
     dtype = keyed.schema["__sk"].dataType
-    if len(sample) < size:
-        # the sample is the whole input: size the buckets to it
-        n = max(1, min(n, len(sample) // MIN_ROWS_PER_BUCKET))
-    picks = []
-    if sample and n > 1:
+    picks: list = []
+    if n > 1 and rows:
+        share = min(_SAMPLE_STEPS, -(-SAMPLE_PER_BUCKET * n * _SAMPLE_STEPS // rows))
+        chosen = F.pmod(F.xxhash64("__sk"), F.lit(_SAMPLE_STEPS)) < share
+        sample = sorted((r["__sk"] for r in keyed.select("__sk").where(chosen).collect()), key=_driver_order)
         step = len(sample) / n
-        for i in range(1, n):
-            r = sample[min(len(sample) - 1, int(i * step))]["__sk"]
+        for i in range(1, n if sample else 1):
+            r = sample[min(len(sample) - 1, int(i * step))]
             if not picks or picks[-1] != r:
                 picks.append(r)
     bounds = [_literal_struct(r, dtype) for r in picks]

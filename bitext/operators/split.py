@@ -3,16 +3,21 @@
 A draw is an order: rows sorted by ``stable_hash(seed, corpus, row_id)``
 (ties by key).  "The first n rows of that order" is an exact-size sample
 that does not depend on partitioning and is recomputed identically after
-an executor loss.  Positions come from ``row_positions`` (range partitions
-plus a bounded carry), so an n of any size never lands in one task, unlike
-``orderBy().limit(n)``.
+an executor loss.
+
+The order is a uniform hash, so a cut after n rows needs no sort: rows are
+counted by the upper half of the hash (at most 65,536 counters), the half that
+holds the cut is counted by the lower half, and only rows of that one hash value
+are looked at.  The cut is then a sort key, and every row is labelled by
+comparing its own key with it: no text is shuffled.  Only ``draw_order``,
+which wants every row's position, ranks all rows.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import stable_hash
@@ -27,9 +32,67 @@ def draw_order(df: DataFrame, seed, out: str = "draw_pos") -> DataFrame:
     return row_positions(h, [], ["__h", *KEY], out=out).drop("__h")
 
 
+def _draw_key(df: DataFrame, seed) -> Column:
+    return F.struct(stable_hash(seed, *KEY).alias("h"), *KEY)
+
+
+def draw_cuts(df: DataFrame, seed, cuts: list[int]) -> list[Column | None]:
+    """For each n in ``cuts`` the sort key of the first row after the first n of
+    the draw order, as a literal; None where there is no such row."""
+    keys = df.select(stable_hash(seed, *KEY).alias("h"), *KEY).persist()
+    high = F.shiftright("h", 16)
+
+    def find(counts: list, n: int):
+        """The value that holds position n, and the position within it."""
+        for value, rows in counts:
+            if n < rows:
+                return value, n
+            n -= rows
+        return None, n
+
+    def counted(rows: DataFrame, by: Column) -> list:
+        return sorted((r["v"], r["count"]) for r in rows.groupBy(by.alias("v")).count().collect())
+
+    try:
+        halves = counted(keys, high)
+        found = []
+        places = {n: find(halves, n) for n in set(cuts)}
+        wanted = sorted({v for v, _ in places.values() if v is not None})
+        low = counted(keys.where(high.isin(wanted)), F.col("h")) if wanted else []
+        exact = {n: find([x for x in low if x[0] >> 16 == v], k) if v is not None else (None, k) for n, (v, k) in places.items()}
+        hashes = sorted({v for v, _ in exact.values() if v is not None})
+        # rows of one hash value of 2^32: a few
+        rows = sorted((r["h"], r["corpus"], r["row_id"]) for r in keys.where(F.col("h").isin(hashes)).collect()) if hashes else []
+        for n in cuts:
+            value, k = exact[n]
+            if value is None:
+                found.append(None)
+                continue
+            h, corpus, row_id = [r for r in rows if r[0] == value][k]
+            found.append(F.struct(F.lit(h).cast("long").alias("h"), F.lit(corpus).alias("corpus"), F.lit(row_id).cast("long").alias("row_id")))
+        return found
+    finally:
+        keys.unpersist()
+
+
+def _slices(df: DataFrame, seed, bounds: list[tuple[int, int, str]]) -> DataFrame:
+    """Label rows by the slice [lo, hi) of the draw order that they lie in."""
+    places = sorted({x for lo, hi, _ in bounds for x in (lo, hi)} - {0})
+    cut = dict(zip(places, draw_cuts(df, seed, places)))
+    key = _draw_key(df, seed)
+    label = F.lit(None).cast("string")
+    for lo, hi, name in bounds:
+        if lo and cut[lo] is None:
+            continue
+        inside = (F.lit(True) if not lo else key >= cut[lo]) & (F.lit(True) if cut.get(hi) is None else key < cut[hi])
+        if hi > lo:
+            label = F.when(inside, F.lit(name)).otherwise(label)
+    return df.withColumn("split", label)
+
+
 def sample_exact(df: DataFrame, n: int, seed) -> DataFrame:
     """SPL2: exactly ``min(n, count)`` rows."""
-    return draw_order(df, seed, "__p").where(F.col("__p") < n).drop("__p")
+    return _slices(df, seed, [(0, n, "in")]).where(F.col("split") == "in").drop("split") if n > 0 else df.limit(0)
 
 
 def remaining(df: DataFrame, taken: DataFrame) -> DataFrame:
@@ -41,15 +104,10 @@ def split_counts(df: DataFrame, seed, sizes: list[int], names: list[str]) -> Dat
     """Consecutive slices of the draw order: names[i] gets sizes[i] rows;
     rows after the last slice are dropped (SPL4)."""
     bounds, acc = [], 0
-    for s in sizes:
-        bounds.append((acc, acc + s))
-        acc += s
-    pos = draw_order(df, seed, "__p")
-    label = None
-    for (lo, hi), name in zip(bounds, names):
-        cond = (F.col("__p") >= lo) & (F.col("__p") < hi)
-        label = F.when(cond, F.lit(name)) if label is None else label.when(cond, F.lit(name))
-    return pos.withColumn("split", label).where(F.col("split").isNotNull()).drop("__p")
+    for n, name in zip(sizes, names):
+        bounds.append((acc, acc + n, name))
+        acc += n
+    return _slices(df, seed, bounds).where(F.col("split").isNotNull())
 
 
 def test_size(n: int, fraction: float) -> int:
@@ -82,25 +140,21 @@ def recipe_set2(a: DataFrame, b: DataFrame, seed, n_valid: int, n_test: int) ->
     The rest of A in draw order is the draw order of A after its first |B|
     rows, so one positions pass over A labels all three slices (no anti-join,
     no second draw)."""
-    n_b = b.count()
+    n_a, n_b = a.count(), b.count()
+    if n_b + n_valid + n_test > n_a:
+        raise ValueError(f"{n_a} rows cannot give {n_b} + {n_valid} + {n_test}")
     sliced = split_counts(a, seed, [n_b, n_valid, n_test], ["train", "valid", "test"])
     return b.withColumn("split", F.lit("train")).unionByName(sliced)
 
 
 def recipe_set3(a: DataFrame, b: DataFrame, seed, n_a: int, n_b: int) -> DataFrame:
-    """SPL7: train = n_a of A + n_b of B; valid = rest of A; test = rest of B.
-
-    One positions pass keyed by the side (A or B) draws both samples."""
-    both = a.withColumn("__side", F.lit(0)).unionByName(b.withColumn("__side", F.lit(1)))
-    h = both.withColumn("__h", stable_hash(seed, *KEY))
-    pos = row_positions(h, ["__side"], ["__h", *KEY], out="__p")
-    label = (
-        F.when((F.col("__side") == 0) & (F.col("__p") < n_a), F.lit("train"))
-        .when(F.col("__side") == 0, F.lit("valid"))
-        .when(F.col("__p") < n_b, F.lit("train"))
-        .otherwise(F.lit("test"))
-    )
-    return pos.withColumn("split", label).drop("__side", "__h", "__p")
+    """SPL7: train = n_a of A + n_b of B; valid = rest of A; test = rest of B."""
+
+    def first_or(df: DataFrame, n: int, rest: str) -> DataFrame:
+        label = F.coalesce(F.col("split"), F.lit(rest))
+        return _slices(df, seed, [(0, n, "train")]).withColumn("split", label)
+
+    return first_or(a, n_a, "valid").unionByName(first_or(b, n_b, "test"))
 
 
 def union_corpora(*dfs: DataFrame) -> DataFrame:

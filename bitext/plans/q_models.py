@@ -9,16 +9,58 @@ from ..functions import text as tx
 from ..operators import bpe
 from ..operators import clean as cl
 from ..operators.predict import LookupPredictor, predict_batches
-from .q_text import clean_p
+from .q_text import CLEAN_P_SQL, clean_p
 from .q_vocab import BASE_TOK, PADDED, padded
 from .registry import query
 
 # Fixed values of the queries.
-BPE_MERGES = 24            # merges learned by the registered query
+BPE_MERGES = 24            # merges of the queries that the oracle follows, one CTE per merge
+BPE_MERGES_LONG = 400      # merges of ``bpe_vocabulary``, beyond what unrolled SQL can follow
 BPE_MIN_FREQ = 2
 LOOKUP_SIZE = 1000         # ids below this map to themselves, the rest to unk
 
 
+def _sql_pre(side: str) -> str:
+    classes = f"[{tx.WORD_CLASS}]+|[^{tx.WORD_CLASS}{tx.SPACE_CLASS}]+"
+    return f"regexp_extract_all(lower({side}), '\\[start\\]|\\[end\\]|{classes}')"
+
+
+def _bpe_sql(k: int) -> str:
+    """CTEs: words w0, the best pair p1 and the rewritten words w1, and so on."""
+    steps = [
+        f"c AS MATERIALIZED ({CLEAN_P_SQL})",
+        f"tok AS (SELECT unnest({_sql_pre('src')}) AS word FROM c "
+        f"UNION ALL SELECT unnest({_sql_pre('tgt')}) FROM c)",
+        "w0 AS MATERIALIZED (SELECT word, count(*) AS f, regexp_replace(word, '(.)', ' \\1 ', 'g') AS sym "
+        "FROM tok GROUP BY word)",
+    ]
+    for i in range(1, k + 1):
+        steps.append(
+            f"p{i} AS MATERIALIZED (SELECT l, r, CAST(sum(f) AS BIGINT) AS n FROM (SELECT f, unnest(s[:-2]) AS l, "
+            f"unnest(s[2:]) AS r FROM (SELECT f, string_split(trim(sym), '  ') AS s FROM w{i - 1}) WHERE len(s) > 1) "
+            f"GROUP BY l, r HAVING sum(f) >= {BPE_MIN_FREQ} ORDER BY n DESC, l, r LIMIT 1)"
+        )
+        steps.append(
+            f"w{i} AS MATERIALIZED (SELECT word, f, CASE WHEN l IS NULL THEN sym ELSE "
+            f"replace(sym, ' ' || l || '  ' || r || ' ', ' ' || l || r || ' ') END AS sym FROM w{i - 1} LEFT JOIN p{i} ON true)"
+        )
+    return "WITH " + ",\n".join(steps) + "\n"
+
+
+_LEARN_SQL = _bpe_sql(BPE_MERGES) + "\nUNION ALL ".join(
+    f'SELECT CAST({i} AS INTEGER) AS rank, l AS "left", r AS "right", n FROM p{i}'
+    for i in range(1, BPE_MERGES + 1)
+)
+
+
+def _segmented_sql(side: str) -> str:
+    return (
+        f"(SELECT row_id, list(u ORDER BY i, j) AS u FROM (SELECT row_id, i, unnest(string_split(trim(sym), '  ')) AS u, "
+        f"unnest(range(len(string_split(trim(sym), '  ')))) AS j FROM (SELECT row_id, unnest({_sql_pre(side)}) AS word, "
+        f"unnest(range(len({_sql_pre(side)}))) AS i FROM c) JOIN w{BPE_MERGES} USING (word)) GROUP BY row_id)"
+    )
+
+
 def word_freqs(spark, d):
     """(word, freq) over both sides: lower-cased, pre-tokenised words."""
     p = clean_p(spark, d)
@@ -28,26 +70,34 @@ def word_freqs(spark, d):
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
 
 
-def learned(spark, d):
-    return bpe.learn_merges(word_freqs(spark, d), BPE_MERGES, BPE_MIN_FREQ)
+def _merges(spark, d, k):
+    merges = bpe.learn_merges(word_freqs(spark, d), k, BPE_MIN_FREQ)
+    return bpe.merges_frame(spark, merges)
 
 
-@query("bpe_learn")
+@query("bpe_learn", _LEARN_SQL)
 def q_bpe_learn(spark, d):
-    return bpe.merges_frame(spark, learned(spark, d))
+    return _merges(spark, d, BPE_MERGES)
+
+
+@query("bpe_vocabulary")
+def q_bpe_vocabulary(spark, d):
+    return _merges(spark, d, BPE_MERGES_LONG)
 
 
 def subwords(spark, d):
-    merges = learned(spark, d)
-    p = clean_p(spark, d)
-    return p.select(
-        "row_id",
-        bpe.encode_words(tx.pretokenize(tx.lower("src")), merges).alias("s"),
-        bpe.encode_words(tx.pretokenize(tx.lower("tgt")), merges).alias("t"),
-    )
+    """(row_id, s, t): the subwords of both sides of every line."""
+    _, segmentation = bpe.learn(word_freqs(spark, d), BPE_MERGES, BPE_MIN_FREQ)
+    sides = {"s": tx.pretokenize(tx.lower("src")), "t": tx.pretokenize(tx.lower("tgt"))}
+    return bpe.segment_words(clean_p(spark, d), "row_id", sides, segmentation)
 
 
-@query("bpe_apply")
+@query(
+    "bpe_apply",
+    _bpe_sql(BPE_MERGES)
+    + "SELECT row_id, CAST(coalesce(len(u), 0) AS BIGINT) AS n_subwords, coalesce(array_to_string(u, ' '), '') AS subwords "
+    + f"FROM c LEFT JOIN {_segmented_sql('tgt')} USING (row_id)",
+)
 def q_bpe_apply(spark, d):
     sw = subwords(spark, d)
     return sw.select(
@@ -55,7 +105,13 @@ def q_bpe_apply(spark, d):
     )
 
 
-@query("subword_length_clean")
+@query(
+    "subword_length_clean",
+    _bpe_sql(BPE_MERGES)
+    + "SELECT row_id, CAST(a AS BIGINT) AS n_src, CAST(b AS BIGINT) AS n_tgt FROM (SELECT c.row_id, len(s.u) AS a, len(t.u) AS b "
+    + f"FROM c JOIN {_segmented_sql('src')} s USING (row_id) JOIN {_segmented_sql('tgt')} t USING (row_id)) "
+    + "WHERE a BETWEEN 2 AND 350 AND b BETWEEN 2 AND 350 AND greatest(a, b) <= 2.0 * least(a, b)",
+)
 def q_subword_length_clean(spark, d):
     sw = subwords(spark, d)
     out = cl.length_ratio_clean(sw, "s", "t", 2, 350, 2.0)

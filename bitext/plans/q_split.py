@@ -106,17 +106,15 @@ def q_split_half(spark, d):
     return sp.split_half(b, SEED_SPLIT).select("row_id", "corpus", "split")
 
 
-def _set2_sizes(n_rest: int) -> tuple[int, int]:
-    """The reference asks for 2,000 + 2,000; on a smaller remainder both
-    slices shrink to half of it."""
-    k = min(SET2_VALID, n_rest // 2)
-    return k, min(SET2_TEST, n_rest // 2)
+def set2_sizes(n_a: int) -> tuple[int, int]:
+    """The reference's 2,000 + 2,000 as shares of its filtered corpus."""
+    return n_a * SET2_VALID // SET3_A_OF, n_a * SET2_TEST // SET3_A_OF
 
 
 _SET2_SQL = f""", d AS ({sql_draw('a', SEED_SAMPLE)}),
 s AS (SELECT * FROM d WHERE pos < (SELECT count(*) FROM b)),
 rest AS (SELECT row_id, corpus, src, tgt FROM a WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.corpus = a.corpus AND s.row_id = a.row_id)),
-k AS (SELECT least({SET2_VALID}, count(*) // 2) AS kv, least({SET2_TEST}, count(*) // 2) AS kt FROM rest),
+k AS (SELECT count(*) * {SET2_VALID} // {SET3_A_OF} AS kv, count(*) * {SET2_TEST} // {SET3_A_OF} AS kt FROM a),
 r AS ({sql_draw('rest', SEED_SAMPLE)}),
 vt AS (SELECT row_id, corpus, CASE WHEN pos < kv THEN 'valid' WHEN pos < kv + kt THEN 'test' END AS split FROM r, k)
 """
@@ -126,7 +124,7 @@ vt AS (SELECT row_id, corpus, CASE WHEN pos < kv THEN 'valid' WHEN pos < kv + kt
 def q_split_absolute(spark, d):
     a, b = corpora(spark, d)
     rest = sp.remaining(a, sp.sample_exact(a, b.count(), SEED_SAMPLE))
-    kv, kt = _set2_sizes(rest.count())
+    kv, kt = set2_sizes(a.count())
     return sp.split_counts(rest, SEED_SAMPLE, [kv, kt], ["valid", "test"]).select("row_id", "corpus", "split")
 
 
@@ -156,9 +154,7 @@ UNION ALL SELECT row_id, corpus, split FROM vt WHERE split IS NOT NULL
 )
 def q_recipe_set2(spark, d):
     a, b = corpora(spark, d)
-    n_b = b.count()
-    rest_n = a.count() - min(n_b, a.count())
-    kv, kt = _set2_sizes(rest_n)
+    kv, kt = set2_sizes(a.count())
     return sp.recipe_set2(a, b, SEED_SAMPLE, kv, kt).select("row_id", "corpus", "split")
 
 

@@ -215,7 +215,7 @@ def q_standardize_words(spark, d):
     "pretokenize",
     cte(p=P)
     + "SELECT row_id, array_to_string(regexp_extract_all(lower(concat_ws(' ', '[start]', tgt, '[end]')), "
-    + "'\\[start\\]|\\[end\\]|\\w+|[^\\w\\s]+'), ' ') AS tgt FROM p",
+    + f"'\\[start\\]|\\[end\\]|[{tx.WORD_CLASS}]+|[^{tx.WORD_CLASS}{tx.SPACE_CLASS}]+'), ' ') AS tgt FROM p",
 )
 def q_pretokenize(spark, d):
     p = fx.parallel_lines(spark, d)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import ids as idf
 from ..functions import text as tx
 from ..operators import measure as me
+from ..operators.batches import with_batch
 from ..operators import vocab as vb
 from .q_split import BASE, SET3_SQL, recipe3
 from .q_text import CLEAN_P_SQL, clean_p
@@ -197,11 +198,7 @@ WHERE pos < (n // {BATCH}) * {BATCH}""",
 )
 def q_batch_rows(spark, d):
     p = clean_p(spark, d).select("row_id")
-    n = p.count()
-    pos = me.positions_by(p, ["row_id"])
-    return pos.where(F.col("pos") < (n // BATCH) * BATCH).select(
-        "row_id", (F.col("pos") / BATCH).cast("long").alias("batch")
-    )
+    return with_batch(p, ["row_id"], BATCH, drop_remainder=True).select("row_id", "batch")
 
 
 @query(

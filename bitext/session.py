@@ -3,8 +3,9 @@
 On a cluster the session comes from the caller (spark-submit, notebook);
 nothing here overrides settings the cluster already made.  The only
 thing a job needs from us is a checkpoint folder for iterative work, and
-that is read from ``spark.checkpoint.dir``; a local folder is created only
-when the setting is absent (tests, laptops).
+that is read from ``spark.checkpoint.dir``; where the setting is absent a
+folder is made for a ``local`` master (tests, laptops) and anything else is
+an error, as executors could not see it.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ _LOCAL_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.driver.memory": "16g",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.bitext.spreadSmallScans": "true",
 }
 
 
@@ -40,7 +42,7 @@ def local_session(master: str | None = None, **conf: str) -> SparkSession:
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the shared folder named by ``spark.checkpoint.dir``; create a
-    scratch folder only where the session does not name one."""
+    scratch folder only for a local master without the setting."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -49,6 +51,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="bitext-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return configured

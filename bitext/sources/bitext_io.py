@@ -24,15 +24,16 @@ BITEXT_SCHEMA = T.StructType(
 
 def check_columns(df: DataFrame, columns: Iterable[str]) -> None:
     """SRC5: raise ``ValueError`` naming every missing column."""
-    missing = [c for c in columns if c not in df.columns]
-    if missing:
-        raise ValueError(f"Missing columns: {', '.join(missing)} in DataFrame")
+    wanted = list(columns)
+    absent = sorted(set(wanted) - set(df.columns))
+    if absent:
+        raise ValueError(f"table lacks {absent}; it has {df.columns}")
 
 
-def _csv_reader(spark: SparkSession, schema: T.StructType | None = None):
+def _csv_reader(spark: SparkSession, schema: T.StructType | None = None, multi_line: bool = True):
     reader = (
         spark.read.option("header", "true")
-        .option("multiLine", "true")
+        .option("multiLine", str(multi_line).lower())
         .option("quote", '"')
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
@@ -47,20 +48,29 @@ def read_bitext_csv(
     tgt_col: str,
     corpus: str,
     id_col: str | None = None,
+    na_values: Iterable[str] = (),
+    multi_line: bool = True,
 ) -> DataFrame:
     """SRC1 + SRC4: read a two-column CSV (quoted, embedded commas and
     newlines) and map its columns to ``src``/``tgt``.
 
     Without an id column the row id is Spark's monotonically increasing id
-    of the scan: unique and increasing in file order, not dense."""
+    of the scan: unique and increasing in file order, not dense, and different
+    when the file is split differently; name an id column where draws must
+    repeat.  ``na_values``: further strings that count as null.
+    ``multi_line=False`` lets a large file without embedded newlines be split."""
     # no schema: every column is read as a string under its header name, so
     # the file's column order does not matter (a positional schema would)
-    df = _csv_reader(spark).csv(path)
+    df = _csv_reader(spark, multi_line=multi_line).csv(path)
     check_columns(df, [src_col, tgt_col] + ([id_col] if id_col else []))
     rid = F.col(id_col).cast("long") if id_col else F.monotonically_increasing_id()
+    gone = list(na_values)
+
+    def side(name: str):
+        return F.when(~F.col(name).isin(gone), F.col(name)) if gone else F.col(name)
+
     return df.select(
-        rid.alias("row_id"), F.lit(corpus).alias("corpus"),
-        F.col(src_col).alias("src"), F.col(tgt_col).alias("tgt"),
+        rid.alias("row_id"), F.lit(corpus).alias("corpus"), side(src_col).alias("src"), side(tgt_col).alias("tgt")
     )
 
 
@@ -88,11 +98,16 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def append_results(df: DataFrame, path: str) -> None:
-    """SNK4: append result rows; each appended file carries its header, and
-    readers of the folder see one table."""
+    """SNK4: append result rows to a Parquet table."""
     df.write.mode("append").parquet(path)
 
 
+def append_results_csv(df: DataFrame, path: str) -> None:
+    """SNK4 as CSV: every part file opens with the header, which readers of
+    the folder (``header=true``) take once; values are quoted as in SNK1."""
+    write_csv(df, path, mode="append")
+
+
 def profile(df: DataFrame) -> DataFrame:
     """SRC7: row count and non-null count per column, with its type."""
     aggs = [F.count(F.lit(1)).alias("__rows")] + [F.count(F.col(c)).alias(c) for c in df.columns]

@@ -15,15 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+SPREAD = "spark.bitext.spreadSmallScans"
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spread a scan over all cores when the files give fewer splits
-    than the cluster has task slots (one big row group is one task).
-
-    On a large input the scan already has thousands of splits and this is a
-    no-op; it only pays a shuffle of the (already pruned) columns when the
-    layout would otherwise serialise CPU-heavy text work on a few cores."""
-    spark = df.sparkSession
-    slots = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
+    """Hash-spread a scan by ``key`` where the session asks for it.
+
+    One big row group is one task; a laptop session over small single-file
+    tables sets ``spark.bitext.spreadSmallScans`` to use all of its cores.  The
+    setting is off by default: on a large input the scan has splits enough and
+    a plan never depends on sizes or on the cluster."""
+    if df.sparkSession.conf.get(SPREAD, "false") != "true":
         return df
-    return df.repartition(slots, key)
+    return df.repartition(key)

@@ -14,29 +14,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import clean as cl
+from ..plans.fixtures import LINE_ID_STRIDE
 
 DOCUMENT_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def line_pairs(docs: DataFrame) -> DataFrame:
-    """Documents -> one row per line (row_id = doc_id * 100000 + line number),
+    """Documents -> one row per line (row_id as in the batch fixture),
     the same derivation as the batch fixture."""
     lines = docs.select("doc_id", F.posexplode(F.split(F.col("text"), "\n")).alias("line_no", "tgt"))
     return lines.select(
-        (F.col("doc_id") * 100000 + F.col("line_no")).alias("row_id"),
+        (F.col("doc_id") * LINE_ID_STRIDE + F.col("line_no")).alias("row_id"),
         F.regexp_replace("tgt", r"(^| )(the|of|is) ", "$1").alias("src"),
         "tgt",
     )
 
 
-def cleaned_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: int = 1) -> DataFrame:
+def cleaned_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming DataFrame of cleaned, ratio-banded pairs from parquet files
     of documents arriving in ``source_dir``."""
-    docs = (
-        spark.readStream.schema(DOCUMENT_SCHEMA)
-        .option("maxFilesPerTrigger", max_files_per_trigger)
-        .parquet(source_dir)
-    )
+    reader = spark.readStream.schema(DOCUMENT_SCHEMA)
+    if max_files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    docs = reader.parquet(source_dir)
     return cl.ratio_filter(cl.with_word_counts(cl.clean_corpus(line_pairs(docs))))
 
 

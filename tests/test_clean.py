@@ -79,3 +79,8 @@ def test_chain_without_rejoin_equals_full_chain(spark):
     for c in ("src", "tgt"):
         diff = p.where(tx.clean_text(c) != tx.rejoin_words(tx.clean_text(c))).count()
         assert diff == 0
+
+
+def test_pretokenize_keeps_accented_words(spark):
+    got = _one(spark, "café schön, c’est 12€ naïve\u00a0x_y", lambda c: F.array_join(tx.pretokenize(c), " "))
+    assert got == "café schön , c ’ est 12 € naïve x_y"

@@ -7,7 +7,7 @@ from bitext.sources.tables import TABLES
 
 from conftest import SF_SMALL
 
-NO_SQL = {"bpe_learn", "bpe_apply", "subword_length_clean"}
+NO_SQL = {"bpe_vocabulary"}
 
 
 def test_entry_smoke(spark):
@@ -31,7 +31,7 @@ def _norm(v):
 @pytest.mark.parametrize(
     "name",
     ["clean_corpus", "ratio_filter", "stage_counts", "encode_ids", "bleu_sent_m4", "recipe_set3",
-     "early_stop", "greedy_decode", "masked_loss", "grid_missing", "dict_report"],
+     "early_stop", "greedy_decode", "masked_loss", "grid_missing", "dict_report", "pretokenize", "split_absolute", "bpe_apply"],
 )
 def test_query_matches_oracle_small(spark, name):
     con = duckdb.connect()

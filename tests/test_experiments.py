@@ -64,3 +64,12 @@ def test_early_stop_hot_run_matches_window_brute_force(spark):
     for r in exp.collect():
         g = got[r.run_id]
         assert (g.last_epoch, g.stop_p3, g.stop_p10, g.stop_p5000) == (r.last_epoch, r.stop_p3, r.stop_p10, r.stop_p5000)
+
+
+def test_grid_from_lists_is_in_product_order(spark):
+    import itertools
+
+    values = {"patience": [3, 5], "units": [128], "regularizer": [None, "l2"], "dropout": [0.3, 0.5, 0.7]}
+    rows = ex.grid_from_values(spark, values).orderBy("grid_idx").collect()
+    assert [tuple(r[k] for k in values) for r in rows] == list(itertools.product(*values.values()))
+    assert rows[0].key == "patience=3_units=128_regularizer=None_dropout=0.3"

@@ -32,3 +32,14 @@ def test_strip(spark):
     assert _arr(spark, [4, 0, 5, 0], idf.strip_pad) == [4, 5]
     got = _arr(spark, ["[start]", "a", "a", "[end]"], lambda c: idf.strip_values(c, ["[start]", "[end]"]), "array<string>")
     assert got == ["a", "a"]
+
+
+def test_batches_and_back(spark):
+    from bitext.operators.batches import batch, unbatch
+
+    df = spark.range(0, 23).selectExpr("id", "id * 2 as v")
+    whole = batch(df, ["id"], 5)
+    assert sorted((r.batch, len(r.rows)) for r in whole.collect()) == [(0, 5), (1, 5), (2, 5), (3, 5), (4, 3)]
+    assert sorted(unbatch(whole).collect()) == sorted(df.collect())
+    full = batch(df, ["id"], 5, drop_remainder=True)
+    assert full.count() == 4 and unbatch(full).count() == 20

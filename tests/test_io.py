@@ -16,8 +16,8 @@ def test_csv_round_trip_with_commas_quotes_newlines(spark):
     rows = [(1, "ai", 'a, "quoted" b', "line\nbreak"), (2, "ai", "plain", "x,y")]
     df = spark.createDataFrame(rows, "row_id long, corpus string, src string, tgt string")
     out = os.path.join(_tmp(), "c")
-    write_csv(df.select("row_id", df.src.alias("AAVE"), df.tgt.alias("SAE")), out)
-    back = read_bitext_csv(spark, out, "AAVE", "SAE", "ai", id_col="row_id")
+    write_csv(df.select("row_id", df.src.alias("left"), df.tgt.alias("right")), out)
+    back = read_bitext_csv(spark, out, "left", "right", "ai", id_col="row_id")
     assert sorted((r.row_id, r.src, r.tgt) for r in back.collect()) == [(1, rows[0][2], rows[0][3]), (2, "plain", "x,y")]
 
 
@@ -99,3 +99,14 @@ def test_fixed_length_assertion(spark):
     bad = spark.createDataFrame([([1, 2],)], "ids array<int>")
     with pytest.raises(ValueError):
         assert_fixed_length(bad, "ids", 3)
+
+
+def test_na_values_and_csv_append(spark):
+    from bitext.sources.bitext_io import append_results_csv
+
+    out = os.path.join(_tmp(), "n")
+    one = spark.createDataFrame([(1, "n/a", "x"), (2, "b", "-")], "row_id long, l string, r string")
+    append_results_csv(one, out)
+    append_results_csv(spark.createDataFrame([(3, "c, d", 'q"')], "row_id long, l string, r string"), out)
+    back = read_bitext_csv(spark, out, "l", "r", "ai", id_col="row_id", na_values=["n/a", "-"], multi_line=False)
+    assert sorted((r.row_id, r.src, r.tgt) for r in back.collect()) == [(1, None, "x"), (2, "b", None), (3, "c, d", 'q"')]

@@ -59,3 +59,15 @@ def test_hot_key_spans_many_buckets(spark):
     b = with_buckets(df, ["k"], ["t"], buckets=8)
     n_buckets = b.where(F.col("k") == 0).select("__bucket").distinct().count()
     assert n_buckets >= 3
+
+
+def test_buckets_come_from_the_row_count(spark, monkeypatch):
+    from bitext.operators import positions
+
+    monkeypatch.setattr(positions, "ROWS_PER_BUCKET", 200)
+    df = _skewed(spark)
+    got = row_positions(df, ["k"], ["t"], out="pos")
+    assert positions.with_buckets(df, ["k"], ["t"]).select("__bucket").distinct().count() > 5
+    w = Window.partitionBy("k").orderBy("t")
+    exp = df.withColumn("pos", F.row_number().over(w) - 1)
+    assert sorted(got.select("t", "pos").collect()) == sorted(exp.select("t", "pos").collect())

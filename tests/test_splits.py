@@ -35,3 +35,22 @@ def test_recipe2_absolute_sizes(spark):
     assert counts == {"train": 120, "valid": 100, "test": 100}
     train_ai = s.where((F.col("split") == "train") & (F.col("corpus") == "ai")).count()
     assert train_ai == 60
+
+
+def test_cuts_equal_the_sorted_order(spark):
+    from bitext.functions.hashing import stable_hash
+
+    a = _corpus(spark, "ai", 700).unionByName(_corpus(spark, "pro", 300))
+    order = [tuple(r) for r in a.select(stable_hash(5, *sp.KEY).alias("h"), *sp.KEY).orderBy("h", *sp.KEY).collect()]
+    for n in (1, 2, 499, 999, 1000, 2000):
+        got = {(r.corpus, r.row_id) for r in sp.sample_exact(a, n, 5).collect()}
+        assert got == {x[1:] for x in order[:n]}
+    plan = sp.sample_exact(a, 300, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_recipe2_refuses_too_few_rows(spark):
+    import pytest
+
+    with pytest.raises(ValueError):
+        sp.recipe_set2(_corpus(spark, "ai", 50), _corpus(spark, "pro", 20), 1, 20, 20)
