@@ -42,7 +42,7 @@ DICT_BYTES = 64 << 10
 SAMPLE_DOCS = 1000
 SEGMENT_BYTES = 1 << 20
 LEVEL = 3
-CACHE = 500_000
+CACHE = 300_000
 
 _ENTRY = "struct<doc_id:bigint,offset:bigint,length:bigint,n_tokens:bigint,before:bigint>"
 
@@ -75,8 +75,8 @@ class WordIds:
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         #: The tokenizer's own pattern (a fixed value of its file).
         self.pieces = regex.compile(
-            r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
-        ).findall
+            r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+| "
+        ).findall  # and the space between words that are cut together
         self.known: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {"": b""}
 
@@ -89,11 +89,10 @@ class WordIds:
         # context, or with inner white space, go to the whole tokenizer
         easy, hard = [], []
         for w in words:
-            (easy if _EASY(w) else hard).append(w)
+            (easy if w.isascii() and w.isprintable() or _EASY(w) else hard).append(w)
         self.words.update(zip(hard, self._plain(hard)))
-        folded = unicodedata.normalize("NFC", " ".join(easy)).lower().split(" ") if easy else []
-        cut = [self.pieces(w) for w in folded]
-        new = [p for p in set().union(*cut) if p not in self.known]
+        cut = self.pieces(unicodedata.normalize("NFC", " ".join(easy)).lower())
+        new = [p for p in set(cut) if p not in self.known and p != " "]
         step = 4096
         for i in range(0, len(new), step):
             part = new[i : i + step]
@@ -104,10 +103,17 @@ class WordIds:
                 continue
             raw, size = ids.tobytes(), self.dtype.itemsize
             self.known.update((p, raw[a * size : b * size]) for p, a, b in zip(part, [0, *cuts], cuts))
-        known = self.known.__getitem__
-        self.words.update((w, b"".join(map(known, pieces))) for w, pieces in zip(easy, cut))
-
-    def encode(self, texts: list[str], chunk_chars: int = 8_000_000) -> list[bytes]:
+        done, word = [], []
+        for p in cut:
+            if p == " ":
+                done.append(word[0] if len(word) == 1 else b"".join(word))
+                word = []
+            else:
+                word.append(self.known[p])
+        done.append(b"".join(word))
+        self.words.update(zip(easy, done))
+
+    def encode(self, texts: list[str], chunk_chars: int = 2_000_000) -> list[bytes]:
         out: list[bytes] = []
         at = 0
         while at < len(texts):
@@ -119,7 +125,7 @@ class WordIds:
                 self.words = {"": b""}
             if len(self.known) > CACHE:
                 self.known = {}
-            cut = [t.split(" ") for t in texts[at:to]]
+            cut = [t.replace("\n", " ").split(" ") for t in texts[at:to]]
             known = self.words
             self._learn([w for w in set().union(*cut) if w not in known])
             out += [b"".join(map(known.__getitem__, words)) for words in cut]
@@ -181,7 +187,7 @@ def write_store(
     def compress(batches):
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(shared.value))
         size = _coder(tokenizer.value).dtype.itemsize
-        for b in batches:
+        for b in (batch.slice(i, 500) for batch in batches for i in range(0, batch.num_rows, 500)):
             ids = coded(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(x) // size for x in ids], pa.int64()),
