@@ -4,7 +4,7 @@ Fingerprints: 64 bits, bit b is set if it is set in more than half of the
 XXH64 values of the text's word shingles.
 
 Search: every bit position gets a vector of r+1 bits; table v (any nonzero
-vector of r+1 bits) keeps the positions whose vector has an even inner
+vector of r+1 bits) keeps the positions whose vector has an odd inner
 product with v.  The vectors of the at most r positions in which a pair
 differs span at most r dimensions, so some v is orthogonal to all of them and
 that table's key is equal on both sides: no pair within the radius is missed.
@@ -83,8 +83,8 @@ def cover_masks(radius: int, seed: int) -> list[int]:
     rng.shuffle(vectors)
     masks = []
     for v in range(1, 2 ** (radius + 1)):
-        even = [b for b in range(BITS) if bin(int(vectors[b]) & v).count("1") % 2 == 0]
-        masks.append(sum(1 << b for b in even))
+        odd = [b for b in range(BITS) if (int(vectors[b]) & v).bit_count() % 2]
+        masks.append(sum(1 << b for b in odd))
     return masks
 
 
