@@ -2,21 +2,24 @@
 
 A vocabulary is a table ``(token, freq, id)``.  Building it is one
 ``groupBy(token)`` (partial aggregation absorbs very frequent tokens) and a
-dense position in (freq desc, token asc) order.  Encoding explodes token
-positions, joins the vocabulary and regroups by the row key.  The join is
-left to AQE: it becomes a broadcast when the vocabulary's measured size is
-under the broadcast threshold and a skew-split sort-merge join otherwise.
+dense position in (freq desc, token asc) order.  Encoding partitions the
+compact rows by key once, explodes token positions, joins the vocabulary and
+regroups by the row key.  A vocabulary whose id space is capped
+(``max_tokens``, at most ``BROADCAST_TOKENS``) is broadcast: the exploded
+tokens then never leave their partition.  Otherwise the join is left to AQE
+(a sort-merge join that splits the partitions of very frequent tokens).
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import FIRST_TOKEN_ID, PAD_ID, UNK_ID
 from .positions import desc, row_positions
 
+BROADCAST_TOKENS = 200_000
+
 
 def token_counts(df: DataFrame, tokens_col: str) -> DataFrame:
     """token, freq."""
@@ -48,11 +51,14 @@ def encode(
     vocab: DataFrame,
     out: str = "ids",
     drop_oov: bool = False,
+    max_tokens: int | None = None,
 ) -> DataFrame:
     """ARR1 (unknown -> 1) or FLT9 (``drop_oov``: unknown tokens removed).
-    Returns ``key`` columns plus ``out`` (array<int> in token order)."""
-    exploded = df.select(*key, F.posexplode_outer(tokens_col).alias("pos", "token"))
-    v = vocab.select("token", "id")
+    Returns ``key`` columns plus ``out`` (array<int> in token order).
+    ``max_tokens``: the cap that the vocabulary was built with, if any."""
+    placed = df.select(*key, tokens_col).repartition(*key)
+    exploded = placed.select(*key, F.posexplode_outer(tokens_col).alias("pos", "token"))
+    v = _bounded(vocab.select("token", "id"), max_tokens)
     joined = exploded.join(v, "token", "left")
     idv = F.coalesce(F.col("id"), F.lit(UNK_ID))
     keep = F.col("pos").isNotNull()
@@ -63,6 +69,10 @@ def encode(
     return grouped.select(*key, F.transform(F.array_sort("__e"), lambda e: e["id"]).alias(out))
 
 
+def _bounded(vocab: DataFrame, max_tokens: int | None) -> DataFrame:
+    return F.broadcast(vocab) if max_tokens is not None and max_tokens <= BROADCAST_TOKENS else vocab
+
+
 def decode(
     df: DataFrame,
     key: list[str],
@@ -70,16 +80,17 @@ def decode(
     vocab: DataFrame,
     out: str = "text",
     skip_ids=(PAD_ID,),
+    max_tokens: int | None = None,
 ) -> DataFrame:
     """ARR7/FLT10/STR15: ids -> words joined by one space; skipped ids and
     ids missing from the vocabulary are left out."""
-    exploded = df.select(*key, F.posexplode_outer(ids_col).alias("pos", "id"))
-    skip = F.array(*[F.lit(i) for i in skip_ids])
-    joined = exploded.join(vocab.select("id", "token"), "id", "left")
-    # rows are never filtered out, so a sequence of only skipped ids still
-    # yields its key (with an empty text)
-    keep = F.col("token").isNotNull() & ~F.array_contains(skip, F.col("id"))
-    entry = F.when(keep, F.struct("pos", "token"))
+    # skipped ids (padding is most of them) go before the explode; a sequence
+    # of only skipped ids still yields its key (with an empty text)
+    kept = F.filter(ids_col, lambda x: ~x.isin(list(skip_ids)))
+    placed = df.select(*key, kept.alias("__ids")).repartition(*key)
+    exploded = placed.select(*key, F.posexplode_outer("__ids").alias("pos", "id"))
+    joined = exploded.join(_bounded(vocab.select("id", "token"), max_tokens), "id", "left")
+    entry = F.when(F.col("token").isNotNull(), F.struct("pos", "token"))
     grouped = joined.groupBy(*key).agg(F.collect_list(entry).alias("__e"))
     return grouped.select(
         *key, F.array_join(F.transform(F.array_sort("__e"), lambda e: e["token"]), " ").alias(out)
@@ -98,16 +109,21 @@ def dictionary_report(splits: DataFrame, sides: dict[str, str], train: str = "tr
             F.array(*[F.struct(F.lit(s).alias("side"), F.col(c).alias("toks")) for s, c in sides.items()])
         ).alias("x"),
     ).select("split", "x.side", "x.toks")
-    # feeds three branches (vocabulary, unknown tokens, sentence counts)
-    long = long.persist(StorageLevel.MEMORY_AND_DISK)
-    toks = long.select("split", "side", F.explode("toks").alias("token"))
-    vocab = toks.where(F.col("split") == train).select("side", "token").distinct()
-    types = vocab.groupBy("side").agg(F.count(F.lit(1)).alias("types"))
-    unk = (
-        toks.join(vocab, ["side", "token"], "left_anti")
-        .groupBy("split", "side")
-        .agg(F.count(F.lit(1)).alias("n_unk"))
+    # one record per (split, side, token): the raw token stream is shuffled once,
+    # combined map-side, so a very frequent token is a row per task
+    counts = (
+        long.select("split", "side", F.explode("toks").alias("token"))
+        .groupBy("split", "side", "token")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    known = F.max(F.col("split") == train).over(Window.partitionBy("side", "token"))
+    marked = counts.withColumn("known", known)  # as many rows as there are splits
+    types = F.sum(F.when(F.col("split") == train, 1).otherwise(0))
+    words = marked.groupBy("split", "side").agg(
+        F.sum(F.when(~F.col("known"), F.col("n"))).alias("n_unk"), types.alias("types")
     )
+    types = words.groupBy("side").agg(F.sum("types").alias("types"))
+    unk = words.select("split", "side", "n_unk")
     base = long.groupBy("split", "side").agg(
         F.count(F.lit(1)).alias("sents"),
         F.sum(F.size("toks") + 1).cast("long").alias("tokens"),

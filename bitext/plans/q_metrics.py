@@ -43,7 +43,7 @@ FROM cut JOIN words ON cut.pair_id = words.pair_id
 )
 def q_greedy_decode(spark, d):
     dec = mt.greedy_decode(fx.scored_steps(spark, d), fx.END_TOKEN, MAX_DECODE)
-    words = vb.decode(dec, ["pair_id"], "ids", vocab(spark, d), skip_ids=(0, 1))
+    words = vb.decode(dec, ["pair_id"], "ids", vocab(spark, d), skip_ids=(0, 1), max_tokens=MAX_TOKENS)
     return dec.join(words, "pair_id").select(
         "pair_id", tx.array_to_text("ids").alias("ids"), "n_tokens", "text"
     )

@@ -5,12 +5,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import ids as idf
 from ..functions import text as tx
 from ..operators import bpe
 from ..operators import clean as cl
+from ..operators import vocab as vb
 from ..operators.predict import LookupPredictor, predict_batches
 from .q_text import CLEAN_P_SQL, clean_p
-from .q_vocab import BASE_TOK, PADDED, padded
+from .q_vocab import BASE_TOK, MAX_TOKENS, PADDED, SEQ_LEN, encode_sql, padded, sql_ids, vocab_sql
 from .registry import query
 
 # Fixed values of the queries.
@@ -29,10 +31,10 @@ def _bpe_sql(k: int) -> str:
     """CTEs: words w0, the best pair p1 and the rewritten words w1, and so on."""
     steps = [
         f"c AS MATERIALIZED ({CLEAN_P_SQL})",
-        f"tok AS (SELECT unnest({_sql_pre('src')}) AS word FROM c "
+        f"words AS (SELECT unnest({_sql_pre('src')}) AS word FROM c "
         f"UNION ALL SELECT unnest({_sql_pre('tgt')}) FROM c)",
         "w0 AS MATERIALIZED (SELECT word, count(*) AS f, regexp_replace(word, '(.)', ' \\1 ', 'g') AS sym "
-        "FROM tok GROUP BY word)",
+        "FROM words GROUP BY word)",
     ]
     for i in range(1, k + 1):
         steps.append(
@@ -118,6 +120,50 @@ def q_subword_length_clean(spark, d):
     return out.select("row_id", F.size("s").cast("long").alias("n_src"), F.size("t").cast("long").alias("n_tgt"))
 
 
+# ---- subword ids (AGG11, ARR7): one vocabulary over the target's subwords
+SUBWORD_MARKS = ("[START]", "[END]")
+_SUBWORD_TOK = (
+    _bpe_sql(BPE_MERGES)
+    + f", tok AS (SELECT row_id, list_concat(['[START]'], coalesce(u, CAST([] AS VARCHAR[])), ['[END]']) AS toks "
+    + f"FROM c LEFT JOIN {_segmented_sql('tgt')} USING (row_id)), voc AS ({vocab_sql(MAX_TOKENS)}), enc AS ({encode_sql('voc')})\n"
+)
+
+
+def subword_tokens(spark, d):
+    start, end = (F.array(F.lit(m)) for m in SUBWORD_MARKS)
+    return subwords(spark, d).select("row_id", F.concat(start, "t", end).alias("toks"))
+
+
+def subword_ids(spark, d):
+    """(row_id, ids padded to SEQ_LEN) and the vocabulary."""
+    toks = subword_tokens(spark, d).persist()
+    voc = vb.build_vocab(toks, "toks", max_tokens=MAX_TOKENS)
+    ids = vb.encode(toks, ["row_id"], "toks", voc, max_tokens=MAX_TOKENS)
+    return ids.select("row_id", idf.pad_truncate("ids", SEQ_LEN).alias("ids")), voc
+
+
+@query("bpe_encode_ids", _SUBWORD_TOK + PADDED + f"SELECT row_id, {sql_ids('ids')} AS ids FROM pad")
+def q_bpe_encode_ids(spark, d):
+    ids, _ = subword_ids(spark, d)
+    return ids.select("row_id", tx.array_to_text("ids").alias("ids"))
+
+
+@query(
+    "bpe_decode",
+    _SUBWORD_TOK + PADDED
+    + """SELECT p.row_id, coalesce(string_agg(v.token, ' ' ORDER BY u.pos)
+         FILTER (WHERE v.token IS NOT NULL AND u.id <> 0 AND v.token NOT IN ('[START]', '[END]')), '') AS text
+FROM pad p
+LEFT JOIN (SELECT row_id, unnest(ids) AS id, unnest(range(len(ids))) AS pos FROM pad) u ON p.row_id = u.row_id
+LEFT JOIN voc v ON u.id = v.id
+GROUP BY p.row_id""",
+)
+def q_bpe_decode(spark, d):
+    ids, voc = subword_ids(spark, d)
+    plain = voc.where(~F.col("token").isin(list(SUBWORD_MARKS)))  # the marks are skipped like padding
+    return vb.decode(ids, ["row_id"], "ids", plain, max_tokens=MAX_TOKENS)
+
+
 @query(
     "predict_batches",
     BASE_TOK + PADDED

@@ -76,7 +76,7 @@ def vocab(spark, d, cap=MAX_TOKENS, toks=None):
 def encoded(spark, d, cap=MAX_TOKENS, drop_oov=False):
     # the token table feeds the vocabulary and the encoding: build it once
     toks = tokens(spark, d).persist(StorageLevel.MEMORY_AND_DISK)
-    return vb.encode(toks, ["row_id"], "toks", vocab(spark, d, cap, toks), drop_oov=drop_oov)
+    return vb.encode(toks, ["row_id"], "toks", vocab(spark, d, cap, toks), drop_oov=drop_oov, max_tokens=cap)
 
 
 def padded(spark, d):
@@ -186,7 +186,7 @@ LEFT JOIN voc v ON u.id = v.id
 GROUP BY p.row_id""",
 )
 def q_ids_to_text(spark, d):
-    return vb.decode(padded(spark, d), ["row_id"], "ids", vocab(spark, d))
+    return vb.decode(padded(spark, d), ["row_id"], "ids", vocab(spark, d), max_tokens=MAX_TOKENS)
 
 
 @query(
