@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import string
 import uuid
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,6 +40,24 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def _trim() -> None:
+    """Give freed pages back to the system, where the C library can."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def parts(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in smaller pieces, so that few texts are Python objects at
+    once; a worker that stays for the next stage hands its buffers back."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        del batch
+    pa.default_memory_pool().release_unused()
+    _trim()
+
+
 def byte_texts(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of an Arrow string column; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bitext.llm.common import byte_texts, fresh
+from bitext.llm.common import byte_texts, fresh, parts
 
 WIDTH = 13
 BLOCK_BYTES = 8 << 20
@@ -124,7 +124,7 @@ def with_occurrences(
     )
 
     def scan(batches):
-        for batch in batches:
+        for batch in batches if len(blocks) > 1 else parts(batches):
             hits: dict[int, list] = defaultdict(list)
             texts = byte_texts(batch.column(at))
             n_words = [0] * len(texts)

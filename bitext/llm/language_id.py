@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitext.llm.common import stored
+from bitext.llm.common import parts, stored
 
 BUCKETS = 1 << 15
 SAMPLE = 2000
@@ -84,7 +84,7 @@ def fit(docs: DataFrame, bound: int = SAMPLE, text_col: str = "text", lang_col:
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in parts(batches):
             for lang, text in zip(*(c.to_pylist() for c in b.columns)):
                 have = sums.setdefault(lang, np.zeros(BUCKETS))
                 have += np.bincount(trigrams(text), minlength=BUCKETS)
@@ -121,7 +121,7 @@ def identify(pages: DataFrame, model: TextModel, id_col: str = "page_id", url_co
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.lower(at_host).alias("host"), F.col(html_col).cast("string").alias("html"))
 
     def read(batches):
-        for b in batches:
+        for b in parts(batches):
             texts = [x or "" for x in b.column(2).to_pylist()]
             said = [declared_language(x) for x in texts]
             said = [x if x in langs or not x else "other" for x in said]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bitext.llm.common import fresh
+from bitext.llm.common import fresh, parts
 from bitext.llm.labelled import training_rows
 
 LABELLED = 4096
@@ -36,8 +36,8 @@ WORD_BUCKETS = 2048
 SHAPE_BUCKETS = 2048
 _TERMS = WORD_BUCKETS + SHAPE_BUCKETS + 16
 _WORD_WEIGHT = 0.15
-_BLOCK = 512
-_CACHE = 300_000
+_BLOCK = 256
+_CACHE = 100_000
 PASS_SCORE = 0.7
 
 
@@ -128,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int =
     """Terms are counted where the texts are; the driver gets at most ``bound`` sparse rows."""
 
     def run(batches):
-        for b in batches:
+        for b in parts(batches, 100):
             rows = [term_weights(t or "") for t in b.column(1).to_pylist()]
             at = [np.flatnonzero(r).astype("<i4") for r in rows]
             yield pa.RecordBatch.from_arrays(
@@ -151,9 +151,10 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", out: str =
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for b in batches:
+        for b in parts(batches):
             scores = shared.value.scores([t or "" for t in b.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores)], names=[*b.schema.names, out])
+        _SEEN.clear()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitext.llm.common import byte_texts, fresh, stored, text_of
+from bitext.llm.common import byte_texts, fresh, parts, stored, text_of
 
 BITS = 64
 SEED = 42
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, text_hash, fp): fp holds the 64 bits as a signed long."""
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             fps = np.array([fingerprint(t, shingle) for t in byte_texts(batch.column(2))], "<u8")
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(fps.view("<i8"))], names=["doc_id", "text_hash", "fp"]

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bitext.llm.common import stored, text_of
+from bitext.llm.common import parts, stored, text_of
 from bitext.session import ensure_checkpoint_dir
 
 DICT_BYTES = 64 << 10
@@ -174,7 +174,7 @@ def write_store(
         return [ids + end for ids in coder.encode(texts)]
 
     def sample(batches):
-        for b in batches:
+        for b in parts(batches):
             yield pa.RecordBatch.from_arrays([pa.array(coded(b.column(0).to_pylist()), pa.binary())], names=["ids"])
 
     share = SAMPLE_DOCS / max(docs.count(), SAMPLE_DOCS)
@@ -187,7 +187,7 @@ def write_store(
     def compress(batches):
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(shared.value))
         size = _coder(tokenizer.value).dtype.itemsize
-        for b in (batch.slice(i, 500) for batch in batches for i in range(0, batch.num_rows, 500)):
+        for b in parts(batches):
             ids = coded(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(x) // size for x in ids], pa.int64()),

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bitext.llm.common import parts
 from bitext.llm.labelled import training_rows
 
 LABELLED = 6000
@@ -45,8 +46,8 @@ SURE = 5  # toxic documents that a word without others must be in
 FLOOR = 0.03  # kernel values below count as none
 TOXIC_SCORE = 0.3
 _LONG = 48  # a longer word is read in pieces that overlap by half
-_CACHE = 400_000
-_CHUNK = 20_000
+_CACHE = 150_000
+_CHUNK = 5_000
 
 #: Offsets of the second and third character and the weight of a subsequence.
 _STEPS = [(a, b, DECAY ** (b - 2)) for b in (2, 3, 4) for a in range(1, b)]
@@ -143,9 +144,9 @@ class Landmarks:
         if len(self.memory) > _CACHE:
             self.memory.clear()
         new = [w for w in words if w not in self.memory]
-        parts = [(w, p) for w in new for p in _pieces(w)]
-        for i in range(0, len(parts), _CHUNK):
-            some = parts[i : i + _CHUNK]
+        pieces = [(w, p) for w in new for p in _pieces(w)]
+        for i in range(0, len(pieces), _CHUNK):
+            some = pieces[i : i + _CHUNK]
             values = self.kernel([p for _, p in some])
             near = values.max(axis=1) >= FLOOR if values.shape[1] else np.zeros(len(some), bool)
             for (w, _), v, yes in zip(some, values, near):
@@ -256,7 +257,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Model | No
     sample = training_rows(docs, labels, "toxic", bound)
 
     def cut(batches):
-        for b in batches:
+        for b in parts(batches):
             words = [sorted({w for s in sentences_of(t or "") for w in words_of(s) if len(w) <= _LONG}) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(2), pa.array(words, pa.list_(pa.string()))], names=["label", "words"])
 
@@ -277,7 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Model | No
     shared = docs.sparkSession.sparkContext.broadcast(marks)
 
     def features(batches):
-        for b in batches:
+        for b in parts(batches):
             rows = shared.value.sentences([t or "" for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(2), pa.array([r.tobytes() for r in rows], pa.binary())], names=["doc_id", "label", "rows"]
@@ -297,7 +298,7 @@ def with_score(docs: DataFrame, model: Model | None, text_col: str = "text", out
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for b in batches:
+        for b in parts(batches):
             scores = shared.value.scores([t or "" for t in b.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores)], names=[*b.schema.names, out])
 
