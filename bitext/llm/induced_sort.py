@@ -64,9 +64,9 @@ class _Queue:
         bucket = keys // self.width
         order = np.argsort(bucket, kind="stable")
         bucket, at = bucket[order], at[order]
-        cuts = np.flatnonzero(np.diff(bucket)) + 1
-        for part, b in zip(np.split(at, cuts), bucket[np.concatenate([[0], cuts])].tolist() if len(at) else []):
-            self.held[b].append(part)
+        edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])).tolist() if len(at) else [0]
+        for b, i, j in zip(bucket[edges[:-1]].tolist(), edges, edges[1:]):
+            self.held[b].append(at[i:j])
         self.size += at.nbytes
         if self.size > self.scratch.in_memory:
             self._spill()
@@ -85,12 +85,13 @@ class _Queue:
     def take(self, b: int) -> np.ndarray:
         parts = self.held[b]
         self.held[b] = []
-        self.size -= sum(p.nbytes for p in parts)
+        out = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        self.size -= out.nbytes
         if self.files[b] is not None:
-            parts = [np.fromfile(self.files[b], np.int64), *parts]
+            out = np.concatenate([np.fromfile(self.files[b], np.int64), out])
             self.files[b].unlink()
             self.files[b] = None
-        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        return out
 
 
 def _sweep(key: np.ndarray, induced: np.ndarray, seeds: np.ndarray, n_keys: int, total: int, scratch: Scratch) -> np.ndarray:

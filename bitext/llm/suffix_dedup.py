@@ -10,10 +10,14 @@ bytes.  A window can only repeat where the same gram is an anchor again:
 * a context whose equal occurs twice is a repeat from end to end (found by
   counting, with map-side combine, so a passage in a third of all rows is a row
   per task);
-* grams with several different contexts are dealt into shards of about
-  ``SHARD_BYTES``, one text per different context, and each shard's suffixes are
-  sorted by external induced sorting (``induced_sort``); neighbours in the order
-  with a common prefix of ``LENGTH`` bytes are repeats;
+* of grams with several different contexts, the windows fall into ``CLASSES`` by
+  where the anchor lies in them; all windows of a class share a stretch of bytes
+  around the anchor, and a class whose stretch no other context has cannot hold a
+  repeat and is left out;
+* the rest is dealt into shards of about ``SHARD_BYTES``, one text per different
+  context, and each shard's suffixes are sorted by external induced sorting
+  (``induced_sort``); neighbours in the order with a common prefix of ``LENGTH``
+  bytes are repeats;
 * grams with more than ``HOT_CONTEXTS`` different contexts would be one unbounded
   shard; their windows are counted one by one instead, by a 128-bit hash.
 
@@ -31,13 +35,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitext.llm.common import byte_texts, stored, text_of
+from bitext.llm.common import byte_texts, parts, stored, text_of
 from bitext.llm.induced_sort import Scratch, suffix_array
 
 LENGTH = 400
 GRAM = 128
-SHARD_BYTES = 8 << 20
-HOT_CONTEXTS = 20_000
+CLASSES = 4
+SHARD_BYTES = 2 << 20
+HOT_CONTEXTS = 4_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -143,7 +148,28 @@ def _spans(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["t1", "t2", "first", "past"])
 
 
+def class_bounds(length: int) -> list[tuple[int, int]]:
+    """Distances from a window's start to its anchor, in ``CLASSES`` ranges."""
+    places = length - GRAM + 1
+    edges = [places * c // CLASSES for c in range(CLASSES + 1)]
+    return [(a, b - 1) for a, b in zip(edges, edges[1:])]
+
+
+def live_starts(n: int, off: int, classes: list[int], bounds: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(first, past) runs of the window starts that lie in the classes."""
+    spans = sorted((max(0, off - high), min(n, off - low + 1)) for low, high in (bounds[c] for c in classes))
+    out: list[list[int]] = []
+    for first, past in spans:
+        if out and first <= out[-1][1]:
+            out[-1][1] = max(past, out[-1][1])
+        elif first < past:
+            out.append([first, past])
+    return [(a, b) for a, b in out]
+
+
 def _sort_shards(length: int):
+    bounds = class_bounds(length)
+
     def run(batches):
         shard, keys, contexts, starts = None, [], [], []
 
@@ -157,15 +183,16 @@ def _sort_shards(length: int):
             finally:
                 scratch.close()
 
-        for b in batches:
-            for s, t1, t2, lo, n, context in zip(*(c.to_pylist() for c in b.columns)):
+        for b in parts(batches):
+            for s, t1, t2, lo, n, off, context, classes in zip(*(c.to_pylist() for c in b.columns)):
                 if s != shard and contexts:
                     yield close()
                     keys, contexts, starts = [], [], []
                 shard = s
-                keys.append((t1, t2, lo))
-                contexts.append(context)
-                starts.append(n)
+                for first, past in live_starts(n, off, classes, bounds):
+                    keys.append((t1, t2, lo + first))
+                    contexts.append(context[first : past + length - 1])
+                    starts.append(past - first)
         if contexts:
             yield close()
 
@@ -180,12 +207,10 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     def find(batches):
         names = ["t1", "t2", "lo", "n", "off", "gram", "context"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-        for b in batches:
-            for at in range(0, b.num_rows, 200):
-                part = b.slice(at, 200)
-                t1, t2 = part.column(0).to_pylist(), part.column(1).to_pylist()
-                rows = [(x, y, *r) for x, y, t in zip(t1, t2, byte_texts(part.column(2))) for r in anchors(t, length)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+        for part in parts(batches, 200):
+            t1, t2 = part.column(0).to_pylist(), part.column(1).to_pylist()
+            rows = [(x, y, *r) for x, y, t in zip(t1, t2, byte_texts(part.column(2))) for r in anchors(t, length)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     found = texts.mapInArrow(find, "t1 long, t2 long, lo long, n int, off int, gram long, context long")
     found = stored(found, "anchors")
@@ -197,41 +222,56 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     twice = different.filter("copies > 1").select(*same)
     whole = found.join(twice, same).select("t1", "t2", F.col("lo").alias("first"), (F.col("lo") + F.col("n") + (length - 1)).alias("past"))
 
-    # grams with several contexts: into shards, or start by start
+    # grams with several contexts: their bytes, one row per different context
     grams = different.groupBy("gram").agg(F.count("*").alias("n_contexts")).filter("n_contexts > 1")
-    mixed = stored(different.join(grams, "gram").select("gram", "n_contexts", "n", "at.*"), "mixed")
-    size = mixed.filter(F.col("n_contexts") <= HOT_CONTEXTS).agg(F.sum(F.col("n") + length)).first()[0] or 0
-    n_shards = max(1, -(-size // SHARD_BYTES))
-    shard = F.when(F.col("n_contexts") <= HOT_CONTEXTS, F.pmod(F.xxhash64("gram"), F.lit(n_shards)))
-    wanted = mixed.groupBy("t1", "t2").agg(F.collect_list(F.struct(shard.alias("shard"), "lo", "n")).alias("wanted"))
+    mixed = stored(different.join(grams, "gram").select("gram", "n_contexts", "n", "off", "at.*"), "mixed")
+    wanted = mixed.groupBy("t1", "t2").agg(F.collect_list(F.struct("gram", "n_contexts", "lo", "n", "off")).alias("wanted"))
 
     def cut(batches):
-        names = ["shard", "t1", "t2", "lo", "n", "bytes"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        for b in batches:
-            for at in range(0, b.num_rows, 200):
-                part = b.slice(at, 200)
-                t1, t2, wanted = (part.column(i).to_pylist() for i in (0, 1, 3))
-                rows = [
-                    (w["shard"], x, y, w["lo"], w["n"], t[w["lo"] : w["lo"] + w["n"] + length - 1])
-                    for x, y, t, ws in zip(t1, t2, byte_texts(part.column(2)), wanted)
-                    for w in ws
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+        names = ["t1", "t2", "gram", "n_contexts", "lo", "n", "off", "bytes"]
+        kinds = [*[pa.int64()] * 5, pa.int32(), pa.int32(), pa.binary()]
+        for part in parts(batches, 100):
+            t1, t2, wanted = (part.column(i).to_pylist() for i in (0, 1, 3))
+            rows = [
+                (x, y, *(w[k] for k in names[2:7]), t[w["lo"] : w["lo"] + w["n"] + length - 1])
+                for x, y, t, ws in zip(t1, t2, byte_texts(part.column(2)), wanted)
+                for w in ws
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     pieces = texts.join(wanted, ["t1", "t2"]).mapInArrow(
-        cut, "shard long, t1 long, t2 long, lo long, n int, bytes binary"
+        cut, "t1 long, t2 long, gram long, n_contexts long, lo long, n int, off int, bytes binary"
     )
     pieces = stored(pieces.dropDuplicates(["t1", "t2", "lo"]), "pieces")
-    dealt = pieces.filter("shard is not null").repartition(n_shards, "shard").sortWithinPartitions("shard", "t1", "t2", "lo")
+
+    # classes of window starts whose common stretch another context has too
+    bounds = class_bounds(length)
+    stretches = [
+        F.when(
+            (F.col("off") >= low) & (F.col("off") - high < F.col("n")),
+            F.xxhash64("gram", F.lit(c), F.substr("bytes", F.col("off") - low + 1, F.lit(length - (high - low)))),
+        )
+        for c, (low, high) in enumerate(bounds)
+    ]
+    classes = pieces.select("t1", "t2", "lo", F.posexplode(F.array(*stretches)).alias("class", "stretch")).filter("stretch is not null")
+    shared = classes.groupBy("stretch").agg(F.count("*").alias("k")).filter("k > 1").select("stretch")
+    alive = classes.join(shared, "stretch").groupBy("t1", "t2", "lo").agg(F.collect_set("class").alias("classes"))
+    alive = stored(pieces.join(alive, ["t1", "t2", "lo"]), "candidates")
+
+    # into shards, or start by start
+    size = alive.filter(F.col("n_contexts") <= HOT_CONTEXTS).agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+    n_shards = max(1, -(-size // SHARD_BYTES))
+    shard = F.pmod(F.xxhash64("gram"), F.lit(n_shards)).alias("shard")
+    dealt = alive.filter(F.col("n_contexts") <= HOT_CONTEXTS).select(shard, "t1", "t2", "lo", "n", "off", "bytes", "classes")
+    dealt = dealt.repartition(n_shards, "shard").sortWithinPartitions("shard", "t1", "t2", "lo")
     by_order = dealt.mapInArrow(_sort_shards(length), _SPAN)
 
     def one_by_one(batches):
-        for b in batches:
+        for b in parts(batches, 200):
             rows = []
-            for t1, t2, lo, n, context in zip(*(c.to_pylist() for c in b.columns)):
-                for i in range(n):
-                    rows.append((t1, t2, lo + i, xxhash.xxh3_128_digest(context[i : i + length])))
+            for t1, t2, lo, n, off, context, classes in zip(*(c.to_pylist() for c in b.columns)):
+                for first, past in live_starts(n, off, classes, bounds):
+                    rows += [(t1, t2, lo + i, xxhash.xxh3_128_digest(context[i : i + length])) for i in range(first, past)]
             if rows:
                 columns = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
@@ -239,7 +279,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
                     names=["t1", "t2", "first", "window"],
                 )
 
-    hot = pieces.filter("shard is null").select("t1", "t2", "lo", "n", "bytes")
+    hot = alive.filter(F.col("n_contexts") > HOT_CONTEXTS).select("t1", "t2", "lo", "n", "off", "bytes", "classes")
     hot = hot.mapInArrow(one_by_one, "t1 long, t2 long, first long, window binary")
     hot_twice = hot.groupBy("window").count().filter("count > 1").select("window")
     by_window = hot.join(hot_twice, "window").select("t1", "t2", "first", (F.col("first") + length).alias("past"))
@@ -260,24 +300,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pair = pa.struct([("first", pa.int64()), ("past", pa.int64())])
 
     def cut(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                texts, removed, kept = byte_texts(part.column(1)), [], []
-                for t, spans in zip(texts, part.column(2).to_pylist()):
-                    merged: list[list[int]] = []
-                    for first, past in sorted((s["first"], s["past"]) for s in spans or ()):
-                        if merged and first <= merged[-1][1]:
-                            merged[-1][1] = max(past, merged[-1][1])
-                        else:
-                            merged.append([first, past])
-                    edges = [0, *(x for m in merged for x in m), len(t)]
-                    removed.append([{"first": a, "past": z} for a, z in merged])
-                    kept.append(b"".join(t[a:z] for a, z in zip(edges[::2], edges[1::2])))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(removed, pa.list_(pair)),
-                     pa.array(kept, pa.binary())],
-                    names=["doc_id", "n_bytes", "removed", "kept"],
-                )
+        for part in parts(batches):
+            texts, removed, kept = byte_texts(part.column(1)), [], []
+            for t, spans in zip(texts, part.column(2).to_pylist()):
+                merged: list[list[int]] = []
+                for first, past in sorted((s["first"], s["past"]) for s in spans or ()):
+                    if merged and first <= merged[-1][1]:
+                        merged[-1][1] = max(past, merged[-1][1])
+                    else:
+                        merged.append([first, past])
+                edges = [0, *(x for m in merged for x in m), len(t)]
+                removed.append([{"first": a, "past": z} for a, z in merged])
+                kept.append(b"".join(t[a:z] for a, z in zip(edges[::2], edges[1::2])))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(removed, pa.list_(pair)),
+                 pa.array(kept, pa.binary())],
+                names=["doc_id", "n_bytes", "removed", "kept"],
+            )
 
     return joined.mapInArrow(cut, "doc_id long, n_bytes long, removed array<struct<first:bigint,past:bigint>>, kept binary")
