@@ -36,9 +36,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CACHE = 200_000
+from bitext.llm.common import parts
+
+CACHE = 100_000
 CHUNK_CHARS = 2_000_000
-_ROWS = 500  # rows of an Arrow batch that are in work at once
 _WIDE = 12  # positions from which a bucket is emptied by array operations
 
 
@@ -363,26 +364,28 @@ def _encoder(tokens: list[bytes], pattern: str) -> Encoder:
     return _ENCODERS[key]
 
 
-def _parts(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, _ROWS):
-            yield batch.slice(at, _ROWS)
-
-
-def with_ids(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out: str = "ids") -> DataFrame:
-    """``docs`` and a binary column of ids (little-endian, 4 bytes each).  The
-    vocabulary is the driver's file, broadcast (under a MB)."""
+def with_ids(
+    docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out: str = "ids", decoded: str | None = None
+) -> DataFrame:
+    """``docs`` and a binary column of ids (little-endian, 4 bytes each); with
+    ``decoded`` also a column of the bytes that those ids stand for, so that one
+    worker per task does both.  The vocabulary is the driver's file, broadcast
+    (under a MB)."""
+    added = [out, *([decoded] if decoded else [])]
     tokens = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     at = docs.columns.index(text_col)
 
     def run(batches):
         coder = _encoder(tokens.value, pattern)
-        for batch in _parts(batches):
+        for batch in parts(batches):
             texts = [x or "" for x in batch.column(at).to_pylist()]
-            ids = pa.array(coder.encode(texts), pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, out])
+            ids = coder.encode(texts)
+            new = [pa.array(ids, pa.binary())]
+            if decoded:
+                new.append(pa.array([coder.decode(x) for x in ids], pa.binary()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *added])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.BinaryType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *[T.StructField(c, T.BinaryType()) for c in added]]))
 
 
 def with_bytes(coded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", out: str = "bytes") -> DataFrame:
@@ -392,7 +395,7 @@ def with_bytes(coded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "
 
     def run(batches):
         vocabulary = tokens.value
-        for batch in _parts(batches):
+        for batch in parts(batches):
             rows = (np.frombuffer(x or b"", "<u4").tolist() for x in batch.column(at).to_pylist())
             raw = pa.array([b"".join(map(vocabulary.__getitem__, ids)) for ids in rows], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, raw], names=[*batch.schema.names, out])

@@ -216,8 +216,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe_codec.with_ids(docs, path, pattern).drop("text")
-    return bpe_codec.with_bytes(coded, path, pattern).select(
+    return bpe_codec.with_ids(docs, path, pattern, decoded="bytes").select(
         "doc_id",
         bpe_codec.n_ids().alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -35,8 +35,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    coded = bpe_codec.with_ids(docs.select("doc_id", "text"), path, pattern).drop("text")
-    return bpe_codec.with_bytes(coded, path, pattern).select(
+    return bpe_codec.with_ids(docs.select("doc_id", "text"), path, pattern, decoded="bytes").select(
         "doc_id",
         bpe_codec.n_ids().alias("n_tokens"),
         "ids",

@@ -72,4 +72,6 @@ def test_columns(spark, library):
     for r in got:
         assert np.frombuffer(r.coded, "<u4").tolist() == library.encode_ordinary(r.text or "")
         assert bytes(r.raw) == (r.text or "").encode() and r.n == len(r.coded) // 4
+    at_once = bc.with_ids(df, PATH, public_tokenizers.PATTERN, out="coded", decoded="raw")
+    assert sorted(map(str, at_once.collect())) == sorted(map(str, back.collect()))
     assert bc.with_ids(df.limit(0), PATH, public_tokenizers.PATTERN, out="coded").count() == 0
