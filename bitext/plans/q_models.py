@@ -13,11 +13,11 @@ from ..operators import vocab as vb
 from ..operators.predict import LookupPredictor, predict_batches
 from .q_text import CLEAN_P_SQL, clean_p
 from .q_vocab import BASE_TOK, MAX_TOKENS, PADDED, SEQ_LEN, encode_sql, padded, sql_ids, vocab_sql
-from .registry import query
+from .registry import full_query, query
 
 # Fixed values of the queries.
-BPE_MERGES = 24            # merges of the queries that the oracle follows, one CTE per merge
-BPE_MERGES_LONG = 400      # merges of ``bpe_vocabulary``, beyond what unrolled SQL can follow
+BPE_MERGES = 24            # merges of the second, small queries that the oracle follows, one CTE per merge
+BPE_MERGES_LONG = 10_000   # merges of ``bpe_vocabulary`` and the ``..._full`` queries, as in the reference
 BPE_MIN_FREQ = 2
 LOOKUP_SIZE = 1000         # ids below this map to themselves, the rest to unk
 
@@ -87,9 +87,9 @@ def q_bpe_vocabulary(spark, d):
     return _merges(spark, d, BPE_MERGES_LONG)
 
 
-def subwords(spark, d):
+def subwords(spark, d, merges=BPE_MERGES):
     """(row_id, s, t): the subwords of both sides of every line."""
-    _, segmentation = bpe.learn(word_freqs(spark, d), BPE_MERGES, BPE_MIN_FREQ)
+    _, segmentation = bpe.learn(word_freqs(spark, d), merges, BPE_MIN_FREQ)
     sides = {"s": tx.pretokenize(tx.lower("src")), "t": tx.pretokenize(tx.lower("tgt"))}
     return bpe.segment_words(clean_p(spark, d), "row_id", sides, segmentation)
 
@@ -100,13 +100,18 @@ def subwords(spark, d):
     + "SELECT row_id, CAST(coalesce(len(u), 0) AS BIGINT) AS n_subwords, coalesce(array_to_string(u, ' '), '') AS subwords "
     + f"FROM c LEFT JOIN {_segmented_sql('tgt')} USING (row_id)",
 )
-def q_bpe_apply(spark, d):
-    sw = subwords(spark, d)
+def q_bpe_apply(spark, d, merges=BPE_MERGES):
+    sw = subwords(spark, d, merges)
     return sw.select(
         "row_id", F.size("t").cast("long").alias("n_subwords"), F.array_join("t", " ").alias("subwords")
     )
 
 
+@full_query("bpe_apply_full")
+def q_bpe_apply_full(spark, d):
+    return q_bpe_apply(spark, d, BPE_MERGES_LONG)
+
+
 @query(
     "subword_length_clean",
     _bpe_sql(BPE_MERGES)
@@ -114,12 +119,17 @@ def q_bpe_apply(spark, d):
     + f"FROM c JOIN {_segmented_sql('src')} s USING (row_id) JOIN {_segmented_sql('tgt')} t USING (row_id)) "
     + "WHERE a BETWEEN 2 AND 350 AND b BETWEEN 2 AND 350 AND greatest(a, b) <= 2.0 * least(a, b)",
 )
-def q_subword_length_clean(spark, d):
-    sw = subwords(spark, d)
+def q_subword_length_clean(spark, d, merges=BPE_MERGES):
+    sw = subwords(spark, d, merges)
     out = cl.length_ratio_clean(sw, "s", "t", 2, 350, 2.0)
     return out.select("row_id", F.size("s").cast("long").alias("n_src"), F.size("t").cast("long").alias("n_tgt"))
 
 
+@full_query("subword_length_clean_full")
+def q_subword_length_clean_full(spark, d):
+    return q_subword_length_clean(spark, d, BPE_MERGES_LONG)
+
+
 # ---- subword ids (AGG11, ARR7): one vocabulary over the target's subwords
 SUBWORD_MARKS = ("[START]", "[END]")
 _SUBWORD_TOK = (
@@ -129,16 +139,21 @@ _SUBWORD_TOK = (
 )
 
 
-def subword_tokens(spark, d):
+def subword_tokens(spark, d, merges=BPE_MERGES):
     start, end = (F.array(F.lit(m)) for m in SUBWORD_MARKS)
-    return subwords(spark, d).select("row_id", F.concat(start, "t", end).alias("toks"))
+    return subwords(spark, d, merges).select("row_id", F.concat(start, "t", end).alias("toks"))
 
 
-def subword_ids(spark, d):
-    """(row_id, ids padded to SEQ_LEN) and the vocabulary."""
-    toks = subword_tokens(spark, d).persist()
+def whole_subword_ids(spark, d, merges):
+    """(row_id, ids of the whole line) and the vocabulary."""
+    toks = subword_tokens(spark, d, merges).persist()
     voc = vb.build_vocab(toks, "toks", max_tokens=MAX_TOKENS)
-    ids = vb.encode(toks, ["row_id"], "toks", voc, max_tokens=MAX_TOKENS)
+    return vb.encode(toks, ["row_id"], "toks", voc, max_tokens=MAX_TOKENS), voc
+
+
+def subword_ids(spark, d, merges=BPE_MERGES):
+    """(row_id, ids padded to SEQ_LEN) and the vocabulary."""
+    ids, voc = whole_subword_ids(spark, d, merges)
     return ids.select("row_id", idf.pad_truncate("ids", SEQ_LEN).alias("ids")), voc
 
 
@@ -148,6 +163,13 @@ def q_bpe_encode_ids(spark, d):
     return ids.select("row_id", tx.array_to_text("ids").alias("ids"))
 
 
+@full_query("bpe_encode_ids_full")
+def q_bpe_encode_ids_full(spark, d):
+    """Padded and cut to SEQ_LEN like the reference's ``tokenize_and_pad``."""
+    ids, _ = subword_ids(spark, d, BPE_MERGES_LONG)
+    return ids.select("row_id", tx.array_to_text("ids").alias("ids"))
+
+
 @query(
     "bpe_decode",
     _SUBWORD_TOK + PADDED
@@ -159,11 +181,20 @@ LEFT JOIN voc v ON u.id = v.id
 GROUP BY p.row_id""",
 )
 def q_bpe_decode(spark, d):
-    ids, voc = subword_ids(spark, d)
+    return _decoded(*subword_ids(spark, d))
+
+
+def _decoded(ids, voc):
     plain = voc.where(~F.col("token").isin(list(SUBWORD_MARKS)))  # the marks are skipped like padding
     return vb.decode(ids, ["row_id"], "ids", plain, max_tokens=MAX_TOKENS)
 
 
+@full_query("bpe_decode_full")
+def q_bpe_decode_full(spark, d):
+    """Every line whole: decoding the ids before they are padded."""
+    return _decoded(*whole_subword_ids(spark, d, BPE_MERGES_LONG))
+
+
 @query(
     "predict_batches",
     BASE_TOK + PADDED

@@ -10,6 +10,8 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
+#: Iterative queries at full size: no SQL can follow them; tests hold them against brute force.
+FULL: dict[str, QueryFn] = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -26,6 +28,16 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+def full_query(name: str):
+    def deco(fn: QueryFn) -> QueryFn:
+        if name in QUERIES or name in FULL:
+            raise ValueError(f"duplicate query {name}")
+        FULL[name] = fn
+        return fn
+
+    return deco
+
+
 # ---- DuckDB expression helpers (the oracle side) ---------------------------
 
 WS_RUN = r"[^ \t\n\x0B\f\r]+"
