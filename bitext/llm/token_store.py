@@ -54,15 +54,22 @@ class WordIds:
     its pattern before it merges.  Ids of a word between spaces never depend on
     its neighbours, so words are remembered; the pieces of new words go to the
     library in batches, joined by spaces, and are told apart by the word-end
-    suffix of their last token."""
+    suffix of their last token.
 
-    def __init__(self, path_or_json: str, wide: bool | None = None):
+    With ``added`` the file's added tokens are recognised inside a text, as the
+    library does by default: texts that may hold one go whole to an untouched
+    tokenizer.  Without, they are cut like any other characters."""
+
+    def __init__(self, path_or_json: str, wide: bool | None = None, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         make = Tokenizer.from_str if path_or_json.lstrip().startswith("{") else Tokenizer.from_file
         self.whole = make(path_or_json)
         self.whole.encode_special_tokens = True
+        self.untouched = make(path_or_json) if added else None
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()] if added else []
+        self.folded = [x.lower() for x in self.added]
         self.lean = make(path_or_json)
         self.lean.encode_special_tokens = True
         self.lean.normalizer = normalizers.Sequence([])
@@ -113,7 +120,23 @@ class WordIds:
         done.append(b"".join(word))
         self.words.update(zip(easy, done))
 
+    def _may_hold(self, text: str) -> bool:
+        """An added token, whatever the file says of folding before the search."""
+        low = text.lower()
+        return any(x in text for x in self.added) or any(x in low for x in self.folded)
+
     def encode(self, texts: list[str], chunk_chars: int = 2_000_000) -> list[bytes]:
+        whole = {}
+        if self.added:
+            for i, t in enumerate(texts):
+                if self._may_hold(t):
+                    whole[i] = np.array(self.untouched.encode(t, add_special_tokens=False).ids, self.dtype).tobytes()
+        if whole:
+            rest = iter(self._by_words([t for i, t in enumerate(texts) if i not in whole], chunk_chars))
+            return [whole[i] if i in whole else next(rest) for i in range(len(texts))]
+        return self._by_words(texts, chunk_chars)
+
+    def _by_words(self, texts: list[str], chunk_chars: int) -> list[bytes]:
         out: list[bytes] = []
         at = 0
         while at < len(texts):
@@ -144,7 +167,7 @@ def _coder(text: str) -> WordIds:
     key = hash(text)
     if key not in _CODERS:
         _CODERS.clear()
-        _CODERS[key] = WordIds(text)
+        _CODERS[key] = WordIds(text, added=True)
     return _CODERS[key]
 
 

@@ -65,3 +65,17 @@ def test_empty_and_long(spark):
     one = spark.createDataFrame([(1, text)], "doc_id long, text string")
     r = ts.read_store(spark, ts.write_store(one, PATH, end_id=2)).first()
     assert np.frombuffer(r.ids, "<u4").tolist() == _library().encode(text, add_special_tokens=False).ids + [2]
+
+
+def test_added_tokens_inside_texts_as_the_library_by_default(spark):
+    library = Tokenizer.from_file(PATH)
+    rnd = random.Random(4)
+    bits = ["a", " ", "\n", "E", "é", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endof", "text|>", "the", "!", "̸"]
+    texts = ["a <|endoftext|> b", *("".join(rnd.choice(bits) for _ in range(rnd.randint(0, 9))) for _ in range(2000))]
+    coder = ts.WordIds(PATH, added=True)
+    exp = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert exp[0] == [320, 49407, 321]
+    assert [np.frombuffer(ids, coder.dtype).tolist() for ids in coder.encode(texts, chunk_chars=300)] == exp
+    df = spark.createDataFrame(list(enumerate(texts[:20])), "doc_id long, text string")
+    got = ts.read_store(spark, ts.write_store(df, PATH, end_id=2)).collect()
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in got} == {i: e + [2] for i, e in enumerate(exp[:20])}
