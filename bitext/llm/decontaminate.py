@@ -8,8 +8,9 @@ there; a zero shift opens the bucket of windows with that suffix block, and
 direct comparison confirms.
 
 Items are broadcast in blocks of at most ``BLOCK_BYTES`` of text, each
-collected, broadcast and dropped before the next; a task holds the tables
-of one block at a time, so memory is bounded for any number of items.
+collected, broadcast and dropped before the next; a worker holds the items
+and tables of one block at a time, so its memory is bounded by ``BLOCK_BYTES``
+for any number of items, and the blocks themselves wait on the executor's disk.
 
 Edge cases: null and wordless texts have no words and are clean; items
 without words never occur; items with a null id report as ''; repeated item
@@ -103,6 +104,8 @@ def _tables(broadcast, width: int) -> list[WordSearch]:
     if id(broadcast) not in _TABLES:
         _TABLES.clear()
         _TABLES[id(broadcast)] = (broadcast, searches(broadcast.value, width))
+        # a Broadcast keeps what it has read; dropped, it is read from its file when needed again
+        vars(broadcast).pop("_value", None)
     return _TABLES[id(broadcast)][1]
 
 

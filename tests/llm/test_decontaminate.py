@@ -64,3 +64,14 @@ def test_long_text_and_empty_tables(spark):
     assert [(s.first, s.past) for s in r.found.spans] == [(150_000, 150_013)]
     assert dc.with_occurrences(df.limit(0), items).count() == 0
     assert dc.with_occurrences(df, items.limit(0)).first().found["items"] == []
+
+
+def test_worker_holds_one_block_of_items(spark):
+    from bitext.llm import decontaminate as dc
+
+    blocks = [spark.sparkContext.broadcast([(str(k), b"one two %d" % k)]) for k in range(3)]
+    for _ in range(2):  # each is read again after it was dropped
+        for k, block in enumerate(blocks):
+            (table,) = dc._tables(block, 3)
+            assert list(table.windows) == [(b"one", b"two", b"%d" % k)]
+            assert not any("_value" in vars(b) for b in blocks) and len(dc._TABLES) == 1
