@@ -15,11 +15,14 @@ from bitext.llm import (
     decontaminate,
     exact_dedup,
     language_id,
+    periodic_runs,
+    pivot_clusters,
     quality,
     simhash,
     suffix_dedup,
     token_store,
     toxicity,
+    warc_zst,
 )
 from bitext.llm.common import held_out
 from bitext.sources.tables import table
@@ -230,3 +233,106 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = token_store.write_store(docs, public_tokenizers.path(WORDS_FILE), end_id=2)
     read = token_store.read_store(spark, store)
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+#: Pages have no time of their own; records carry this one.
+WARC_DATE = "2024-01-01T00:00:00Z"
+
+
+@_query
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc_zst.write_pages(table(spark, sf_dir, "pages"), WARC_DATE)
+    return warc_zst.read_warc(spark, folder).select(
+        warc_zst.page_of("record_id").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        warc_zst.page_of("refers_to").alias("refers_to"),
+    )
+
+
+ORACLES["op11_warc"] = f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+     k AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),
+     w AS (SELECT *, CASE WHEN n >= {warc_zst.REVISIT_BYTES} THEN max(page_id) OVER (PARTITION BY h, n) ELSE page_id END AS best FROM k)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
+       CASE WHEN best IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN best IS DISTINCT FROM page_id THEN best END AS refers_to
+FROM w
+"""
+
+#: Clusters, rounds, dimensions and seed of op12.
+CLUSTERS, ROUNDS, DIMENSIONS, SEED = 8, 10, 64, 3
+
+
+@_query
+def op12_pivot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centroids = pivot_clusters.clusters(table(spark, sf_dir, "embeddings"), CLUSTERS, ROUNDS, DIMENSIONS, SEED)
+    return pivot_clusters.with_inertia(found, centroids)
+
+
+def _clusters_sql() -> str:
+    """One pair of CTEs per round: nearest centroid by vector, centroids after it."""
+    finite = "list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))"
+    steps = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: "
+        f"CAST(floor({pivot_clusters.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings "
+        f"WHERE len(embedding) = {DIMENSIONS} AND {finite})",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{SEED}:' || vec_id), x) - 1 AS k, x FROM v "
+        f"QUALIFY k < {CLUSTERS})",
+    ]
+    for r in range(ROUNDS + 1):
+        steps.append(
+            f"d{r} AS MATERIALIZED (SELECT rid, min(struct_pack(d := list_sum(list_transform(list_zip(v.x, c{r}.x), "
+            f"lambda z: (z[1] - z[2]) * (z[1] - z[2]))), k := k)) AS m FROM v, c{r} GROUP BY rid)"
+        )
+        if r < ROUNDS:
+            steps.append(
+                f"s{r} AS (SELECT k, list(m2 ORDER BY i) AS x FROM (SELECT m.k AS k, i, CAST(floor(sum(y)::DECIMAL(38,0) / count(*)) AS BIGINT) AS m2 "
+                f"FROM (SELECT rid, unnest(x) AS y, unnest(range({DIMENSIONS})) AS i FROM v) JOIN d{r} USING (rid) GROUP BY m.k, i) GROUP BY k)"
+            )
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT k, coalesce(s{r}.x, c{r}.x) AS x FROM c{r} LEFT JOIN s{r} USING (k))")
+    return (
+        "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, CAST(m.k AS INTEGER) AS cluster, CAST(m.d AS BIGINT) AS distance,
+       CAST(sum(m.d) OVER (PARTITION BY m.k) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM d{ROUNDS} JOIN v USING (rid) JOIN c{ROUNDS} c ON c.k = m.k"""
+    )
+
+
+ORACLES["op12_pivot_clusters"] = _clusters_sql()
+
+
+def _with_repeats(docs: DataFrame) -> DataFrame:
+    """The input of op13 (doc_id, text): in every tenth document by its id's crc32 the
+    words from a place on become repeats of the words that stand there first."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    found = F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, found).alias("words"))
+    rows = rows.withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    p = F.expr("int(1 + (n - a) div (3 + g % 8))")
+    sized = rows.withColumn("p", p).withColumn("times", F.expr("int((n - a) div p + 1)"))
+    period = F.slice("words", F.col("a") + 1, F.col("p"))
+    tail = F.slice(F.flatten(F.array_repeat(period, F.col("times"))), F.lit(1), F.col("n") - F.col("a"))
+    changed = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), " ")
+    return sized.select("doc_id", F.when(F.col("n") > 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+@_query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _with_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic_runs.periodic_runs(docs)
+    ranked = F.transform("runs", lambda r: F.struct(r["length"], (-r["start"]).alias("s"), (-r["period"]).alias("p")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    text = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    return found.withColumn("top", F.array_max(ranked)).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("top.s")).alias("start"),
+        F.col("top.length").alias("length"),
+        (-F.col("top.p")).alias("period"),
+        F.expr("1000 * top.length div -top.p").alias("exponent_milli"),
+        F.sha2(text, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
