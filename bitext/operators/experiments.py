@@ -1,9 +1,15 @@
 """Experiment tables (EXP1-6, WIN1-3, STR18, JOI3).
 
-A history is ``(run_id, epoch, loss, val_loss)``.  Early stopping needs a
-running minimum per run; that runs through ``positions.running`` (range
-partitions + bounded carry), so a run with a huge history is spread over
-many tasks.  Everything after it is a partial aggregation per run.
+A history is ``(run_id, epoch, loss, val_loss)``, one row per run and epoch.
+Early stopping needs the best value so far and the epoch of the last
+improvement, over a run's epochs in order.  Epochs are numbers, so a run is cut
+into segments of ``SEGMENT`` epochs: one grouping by (run, segment) gathers each
+segment's rows in order (bounded), and the history is read once.  What a segment
+does to the state is combinable: its minimum and the epoch of it.  A prefix over
+the segments' minima (a few numbers each) gives every segment the state that it
+starts with, and a fold over the segment's rows yields its first stop per
+patience and its last state.  Per run the first stop and the last state remain:
+partial aggregates.  So a run with a huge history is spread over many tasks.
 
 The parameter grid is the product of value lists, given or found in results,
 generated by ``spark.range`` and mixed-radix indexing: no join, no single
@@ -14,10 +20,12 @@ from __future__ import annotations
 
 from math import prod
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .positions import Running, running
+from ..scratch import written
+
+SEGMENT = 4096  # epochs gathered in one row
 
 # The search dimensions and their value lists.
 GRID_DIMS = {
@@ -92,17 +100,57 @@ def early_stop(history: DataFrame, patiences=(3,)) -> DataFrame:
     """WIN1: per run, the first epoch at which val_loss has not improved for
     ``patience`` epochs (a tie is not an improvement); null = ran to the end.
     Columns: run_id, last_epoch, stop_p{patience}..."""
-    scanned = running(
-        history, ["run_id"], ["epoch"], [Running("__prior_min", "min", "val_loss", inclusive=False)]
-    )
-    imp = F.col("__prior_min").isNull() | (F.col("val_loss") < F.col("__prior_min"))
-    flagged = scanned.withColumn("__imp_epoch", F.when(imp, F.col("epoch")))
-    scanned2 = running(flagged, ["run_id"], ["epoch"], [Running("__last_imp", "max", "__imp_epoch")])
-    gap = F.col("epoch") - F.col("__last_imp")
-    return scanned2.groupBy("run_id").agg(
-        F.max("epoch").alias("last_epoch"),
-        *[F.min(F.when(gap >= p, F.col("epoch"))).alias(f"stop_p{p}") for p in patiences],
+    stops = run_stops(history, patiences)
+    return stops.select("run_id", F.col("end.epoch").alias("last_epoch"), *[F.col(f"at_p{p}.epoch").alias(f"stop_p{p}") for p in patiences])
+
+
+def run_stops(history: DataFrame, patiences=(3,)) -> DataFrame:
+    """run_id, at_p{patience} (the state at the first stop, null if there is none)
+    and end (at the last epoch).  A state has epoch, loss, val_loss, best_epoch and
+    best_val_loss: the last improvement up to there, which is the earliest of the
+    lowest values.  An epoch without val_loss is no improvement."""
+    segments = written(
+        history.groupBy("run_id", F.floor(F.col("epoch") / SEGMENT).alias("segment")).agg(
+            F.sort_array(F.collect_list(F.struct("epoch", "val_loss", "loss"))).alias("rows"),
+            F.min("val_loss").alias("low"),
+            F.min_by("epoch", F.when(F.col("val_loss").isNotNull(), F.struct("val_loss", "epoch"))).alias("low_at"),
+        ),
+        "segments",
     )
+    # the state that a segment starts with, from the minima of the segments before it
+    before = Window.partitionBy("run_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    best = F.min(F.when(F.col("low").isNotNull(), F.struct("low", "low_at"))).over(before)
+    carry = segments.select("run_id", "segment", best.alias("before"))
+    rows = segments.select("run_id", "segment", "rows").join(carry, ["run_id", "segment"])
+
+    kinds = dict(history.dtypes)
+    state = "epoch {epoch}, loss {loss}, val_loss {val_loss}, best_epoch {epoch}, best_val_loss {val_loss}".format(**kinds)
+    none = F.lit(None).cast(f"struct<{state.replace(', ', ',').replace(' ', ':')}>")
+    names = [f"at_p{p}" for p in patiences]
+
+    def step(acc: Column, row: Column) -> Column:
+        old = acc["end"]
+        better = row["val_loss"].isNotNull() & (old["best_val_loss"].isNull() | (row["val_loss"] < old["best_val_loss"]))
+        now = F.struct(
+            row["epoch"].alias("epoch"), row["loss"].alias("loss"), row["val_loss"].alias("val_loss"),
+            F.when(better, row["epoch"]).otherwise(old["best_epoch"]).alias("best_epoch"),
+            F.when(better, row["val_loss"]).otherwise(old["best_val_loss"]).alias("best_val_loss"),
+        )
+        gap = row["epoch"] - F.when(better, row["epoch"]).otherwise(old["best_epoch"])
+        stops = [F.when(acc[n].isNull() & (gap >= p), now).otherwise(acc[n]).alias(n) for n, p in zip(names, patiences)]
+        return F.struct(*stops, now.alias("end"))
+
+    start = F.struct(
+        *[none.alias(n) for n in names],
+        F.struct(
+            F.lit(None).cast(kinds["epoch"]).alias("epoch"), F.lit(None).cast(kinds["loss"]).alias("loss"),
+            F.lit(None).cast(kinds["val_loss"]).alias("val_loss"), F.col("before.low_at").alias("best_epoch"),
+            F.col("before.low").alias("best_val_loss"),
+        ).alias("end"),
+    )
+    folded = rows.select("run_id", F.aggregate("rows", start, step).alias("s")).select("run_id", "s.*")
+    first = [F.min_by(n, F.col(f"{n}.epoch")).alias(n) for n in names]
+    return folded.groupBy("run_id").agg(*first, F.max_by("end", F.col("end.epoch")).alias("end"))
 
 
 def best_epoch(history: DataFrame, stops: DataFrame | None = None, stop_col: str | None = None) -> DataFrame:

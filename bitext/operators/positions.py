@@ -3,40 +3,36 @@
 ``Window.partitionBy(key)`` puts every row of a key into one task, which is
 what a hot key (a third of all rows) cannot afford.  Instead:
 
-1. The row count gives the number of buckets, and a hashed Bernoulli sample
-   of the sort key ``(keys, order)``, about ``SAMPLE_PER_BUCKET`` rows a
-   bucket, gives the range boundaries (no sort, no single task).
-2. Each row gets a *bucket*: the number of boundaries below its sort key,
-   found by a balanced CASE tree (log n comparisons).  The bucket is a pure
-   function of the row, so every branch of the plan and every re-executed
-   task sees the same bucket.  A hot key spans many buckets.
-3. Local running values are a window over ``(bucket, keys)``: bounded by
-   the bucket size, not the key size.
-4. Carry-in from earlier buckets of the same key comes from a per-(bucket,
-   key) summary.  Only the first key of a bucket can have rows in earlier
-   buckets, so the carry table has at most one row per bucket: its size is
-   bounded by the bucket count, which makes the broadcast safe.
+1. Spark's own range exchange deals the rows by ``(keys, order)`` into as many
+   buckets as the row count asks for, each is sorted, and the result is written
+   once to the shared folder: with the number of its bucket and its place in it.
+   A hot key spans many buckets, and every branch of a plan reads the same ones.
+2. One row per (bucket, key) says how many rows there are and where they begin.
+   Only the first key of a bucket can have rows in earlier buckets, so the
+   carry-in from them is a prefix over at most one row per bucket and key.
+3. A position is the row's place in its bucket, less the key's first place in it,
+   plus the carry-in: no window over rows at all.  Other running values are a window over
+   ``(bucket, keys)``, bounded by the bucket's size, combined with the carry-in.
 
 Supported running functions: count, sum, min, max, each with an inclusive
 or exclusive (rows strictly before) frame.  ``order`` items are column
-names (ascending) or ``desc(name)`` for a numeric column in descending
-order.
-"""
+names (ascending) or ``desc(name)``; nulls come first either way.
+
+The input is written once before it is dealt, as a range exchange reads its
+input twice; ``scan=True`` says that reading it twice costs no more than that."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-_B = "__bucket"
-SAMPLE_PER_BUCKET = 64
+from ..scratch import new_folder, remove, written
+
+_B, _AT = "__bucket", "__at"
 ROWS_PER_BUCKET = 250_000
-MAX_BUCKETS = 4096          # beyond, buckets grow; a window over one spills
-_SAMPLE_STEPS = 1 << 30
+BROADCAST_BUCKETS = 1_000_000  # a row per bucket, 24 bytes, is broadcast up to here
 
 
 @dataclass(frozen=True)
@@ -54,72 +50,50 @@ class desc:  # noqa: N801  (reads like a sort keyword at call sites)
 
 _AGG = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
 _COMBINE = {"sum": "sum", "count": "sum", "min": "min", "max": "max"}
-_NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
 def _value(spec: Running) -> Column:
     return F.lit(1) if spec.func == "count" else F.col(spec.col)
 
 
-def _sort_key(df: DataFrame, keys: list[str], order: list) -> Column:
-    """Struct whose natural ascending order equals (keys, order)."""
-    types = dict((f.name, f.dataType) for f in df.schema.fields)
-    fields = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
-    for j, o in enumerate(order):
-        if isinstance(o, desc):
-            if not isinstance(types[o.name], _NUMERIC):
-                raise TypeError(f"desc() needs a numeric column, {o.name} is {types[o.name]}")
-            fields.append((-F.col(o.name)).alias(f"o{j}"))
-        elif isinstance(types[o], (T.TimestampType, T.TimestampNTZType)):
-            # microseconds keep the order and survive the driver round trip exactly
-            fields.append(F.unix_micros(F.col(o).cast("timestamp")).alias(f"o{j}"))
-        else:
-            fields.append(F.col(o).alias(f"o{j}"))
-    return F.struct(*fields)
-
-
-def _window_order(order: list) -> list[Column]:
-    # desc items sort nulls first, matching the negated ascending sort key
+def _sorted_by(order: list) -> list[Column]:
     return [F.col(o.name).desc_nulls_first() if isinstance(o, desc) else F.col(o).asc_nulls_first() for o in order]
 
 
-def _literal_struct(row, dtype: T.StructType) -> Column:
-    return F.struct(*[F.lit(row[i]).cast(f.dataType).alias(f.name) for i, f in enumerate(dtype.fields)])
+def with_buckets(
+    df: DataFrame, keys: list[str], order: list, buckets: int | None = None, scan: bool = False
+) -> DataFrame:
+    """The rows with ``__bucket``, an order-preserving range of (keys, order), and
+    ``__at``, the row's place in it; written."""
+    spark = df.sparkSession
+    source = None
+    if not scan:
+        source = new_folder(spark, "unordered")
+        df = written(df, "unordered", source)
+    n = buckets or max(1, -(-df.count() // ROWS_PER_BUCKET))
+    by = _sorted_by([*keys, *order])
+    dealt = df.repartitionByRange(n, *by).sortWithinPartitions(*by)
+    # Spark's row id: the partition's number above 33 bits, the row's place in it below
+    place = F.monotonically_increasing_id()
+    dealt = dealt.withColumn("__id", place).withColumns(
+        {_B: F.shiftright("__id", 33).cast("int"), _AT: F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))}
+    )
+    out = written(dealt.drop("__id"), "ordered")
+    if source is not None:
+        remove(spark, source)
+    return out
 
 
-def _bucket_expr(key: Column, bounds: list[Column], lo: int, hi: int) -> Column:
-    """lo + number of boundaries in bounds[lo:hi] strictly below ``key``."""
-    if lo >= hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(key > bounds[mid], _bucket_expr(key, bounds, mid + 1, hi)).otherwise(
-        _bucket_expr(key, bounds, lo, mid)
-    )
+def _same_group(keys: list[str]) -> list[Column]:
+    return [F.col(_B) == F.col("__cb")] + [F.col(k).eqNullSafe(F.col(f"__ck_{i}")) for i, k in enumerate(keys)]
 
 
-def _driver_order(row) -> tuple:
-    """The order of Spark's structs: nulls first, strings by their bytes."""
-    return tuple((v is not None, v.encode() if isinstance(v, str) else 0 if v is None else v) for v in row)
+def _group_columns(keys: list[str]) -> list[Column]:
+    return [F.col(_B).alias("__cb"), *[F.col(k).alias(f"__ck_{i}") for i, k in enumerate(keys)]]
 
 
-def with_buckets(df: DataFrame, keys: list[str], order: list, buckets: int | None = None) -> DataFrame:
-    """Add ``__bucket``: an order-preserving range bucket of (keys, order)."""
-    keyed = df.withColumn("__sk", _sort_key(df, keys, order))
-    rows = df.count()
-    n = buckets or max(1, min(MAX_BUCKETS, -(-rows // ROWS_PER_BUCKET)))
-    dtype = keyed.schema["__sk"].dataType
-    picks: list = []
-    if n > 1 and rows:
-        share = min(_SAMPLE_STEPS, -(-SAMPLE_PER_BUCKET * n * _SAMPLE_STEPS // rows))
-        chosen = F.pmod(F.xxhash64("__sk"), F.lit(_SAMPLE_STEPS)) < share
-        sample = sorted((r["__sk"] for r in keyed.select("__sk").where(chosen).collect()), key=_driver_order)
-        step = len(sample) / n
-        for i in range(1, n if sample else 1):
-            r = sample[min(len(sample) - 1, int(i * step))]
-            if not picks or picks[-1] != r:
-                picks.append(r)
-    bounds = [_literal_struct(r, dtype) for r in picks]
-    return keyed.withColumn(_B, _bucket_expr(F.col("__sk"), bounds, 0, len(bounds))).drop("__sk")
+def _without_group(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.drop("__cb", *[f"__ck_{i}" for i in range(len(keys))])
 
 
 def running(
@@ -128,12 +102,11 @@ def running(
     order: list,
     specs: list[Running],
     buckets: int | None = None,
+    scan: bool = False,
 ) -> DataFrame:
     """Add one column per spec: the running aggregate over rows of the same
     ``keys`` in ``order`` (must be a total order within a key)."""
-    # the input feeds the boundary sample, the summary and the main branch:
-    # persist it so the upstream plan runs once
-    ranged = with_buckets(df.persist(StorageLevel.MEMORY_AND_DISK), keys, order, buckets)
+    ranged = with_buckets(df, keys, order, buckets, scan).drop(_AT)
 
     # 1. one summary row per (bucket, key): partial aggregates
     summary = ranged.groupBy(_B, *keys).agg(*[_AGG[s.func](_value(s)).alias(s.out) for s in specs])
@@ -141,21 +114,19 @@ def running(
     #    at most one row per bucket survives the filter
     before = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(
-        F.col(_B).alias("__cb"),
-        *[F.col(k).alias(f"__ck_{i}") for i, k in enumerate(keys)],
+        *_group_columns(keys),
         F.count(F.lit(1)).over(before).alias("__earlier"),
         *[_AGG[_COMBINE[s.func]](F.col(s.out)).over(before).alias(f"__carry_{s.out}") for s in specs],
     ).where(F.col("__earlier") > 0).drop("__earlier")
 
     # 3. local running values inside (bucket, key)
-    local = Window.partitionBy(_B, *keys).orderBy(*_window_order(order))
+    local = Window.partitionBy(_B, *keys).orderBy(*_sorted_by(order))
     out = ranged
     for s in specs:
         hi = Window.currentRow if s.inclusive else -1
         w = local.rowsBetween(Window.unboundedPreceding, hi)
         out = out.withColumn(f"__local_{s.out}", _AGG[s.func](_value(s)).over(w))
-    cond = [F.col(_B) == F.col("__cb")] + [F.col(k).eqNullSafe(F.col(f"__ck_{i}")) for i, k in enumerate(keys)]
-    out = out.join(F.broadcast(carry), on=cond, how="left").drop("__cb", *[f"__ck_{i}" for i in range(len(keys))])
+    out = _without_group(out.join(F.broadcast(carry), on=_same_group(keys), how="left"), keys)
     for s in specs:
         loc, car = F.col(f"__local_{s.out}"), F.col(f"__carry_{s.out}")
         if s.func in ("count", "sum"):
@@ -170,8 +141,19 @@ def running(
     return out.drop(_B)
 
 
-def row_positions(df: DataFrame, keys: list[str], order: list, out: str = "pos", base: int = 0) -> DataFrame:
+def row_positions(
+    df: DataFrame, keys: list[str], order: list, out: str = "pos", base: int = 0, scan: bool = False
+) -> DataFrame:
     """``row_number() over (partition by keys order by order) - 1 + base``
     computed skew-safely; ``keys=[]`` gives a global dense position."""
-    res = running(df, keys, order, [Running("__rn", "count")])
-    return res.withColumn(out, (F.col("__rn") - F.lit(1 - base)).cast("long")).drop("__rn")
+    ranged = with_buckets(df, keys, order, scan=scan)
+    groups = ranged.groupBy(_B, *keys).agg(F.count(F.lit(1)).alias("__n"), F.min(_AT).alias("__first"))
+    before = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.coalesce(F.sum("__n").over(before), F.lit(0))
+    offsets = groups.select(*_group_columns(keys), (earlier - F.col("__first") + F.lit(base)).alias("__offset"))
+    if not keys:
+        # a row per bucket: the last one's number says how many
+        last = ranged.agg(F.max(_B)).first()[0] or 0
+        offsets = F.broadcast(offsets) if last < BROADCAST_BUCKETS else offsets
+    placed = ranged.join(offsets, on=_same_group(keys), how="inner")
+    return _without_group(placed.withColumn(out, (F.col(_AT) + F.col("__offset")).cast("long")), keys).drop(_B, _AT, "__offset")

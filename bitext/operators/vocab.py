@@ -2,7 +2,8 @@
 
 A vocabulary is a table ``(token, freq, id)``.  Building it is one
 ``groupBy(token)`` (partial aggregation absorbs very frequent tokens) and a
-dense position in (freq desc, token asc) order.  Encoding partitions the
+dense position in (freq desc, token asc) order: a top-k where the vocabulary is
+capped, ``positions.row_positions`` where it is not.  Encoding partitions the
 compact rows by key once, explodes token positions, joins the vocabulary and
 regroups by the row key.  A vocabulary whose id space is capped
 (``max_tokens``, at most ``BROADCAST_TOKENS``) is broadcast: the exploded
@@ -37,11 +38,14 @@ def build_vocab(
     falling frequency, ties by token; ``max_tokens`` caps the id space
     (ids 0 .. max_tokens - 1) like a vectoriser's ``max_tokens``."""
     counts = token_counts(df, tokens_col)
+    if max_tokens is not None and max_tokens <= BROADCAST_TOKENS:
+        # the cap is the feature: a top-k, and a window over at most ``max_tokens`` rows
+        by = [F.col("freq").desc(), F.col("token").asc()]
+        top = counts.orderBy(*by).limit(max(0, max_tokens - first_id))
+        return top.select("token", "freq", (F.row_number().over(Window.orderBy(*by)) + (first_id - 1)).cast("int").alias("id"))
     ranked = row_positions(counts, [], [desc("freq"), "token"], out="rank")
     out = ranked.select("token", "freq", (F.col("rank") + first_id).cast("int").alias("id"))
-    if max_tokens is not None:
-        out = out.where(F.col("id") < max_tokens)
-    return out
+    return out if max_tokens is None else out.where(F.col("id") < max_tokens)
 
 
 def encode(

@@ -120,7 +120,7 @@ WHERE u.role = 'user' AND a.role = 'assistant'
 # ---------------------------------------------------------------- H
 def _event_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value", "props")
-    return row_positions(ev, ["user_id"], ["ts", "event_id"], out="rn", base=0)
+    return row_positions(ev, ["user_id"], ["ts", "event_id"], out="rn", base=0, scan=True)
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import stable_hash
 from ..operators import experiments as ex
+from ..scratch import written
 from . import fixtures as fx
 from .registry import cte, query
 
@@ -85,21 +86,15 @@ res AS (SELECT r0.*, agg.best_epoch, agg.best_val_loss, agg.final_train_loss, ag
 def results(spark, d):
     """One row per run: its grid point, key, early-stop epochs, best and
     final losses, and score."""
-    h = fx.history(spark, d)
-    es = ex.early_stop(h, PATIENCES)
-    par = ex.assign_params(h.select("run_id").distinct())
-    r0 = par.withColumn("key", ex.experiment_key(DIMS)).join(es, "run_id")
-    stop = F.when(F.col("patience") == 3, F.col("stop_p3")).otherwise(F.col("stop_p5"))
-    r0 = r0.withColumn("epochs", F.coalesce(stop, F.col("last_epoch")))
-    hh = h.join(r0.select("run_id", "epochs"), "run_id").where(F.col("epoch") <= F.col("epochs"))
-    agg = hh.groupBy("run_id").agg(
-        F.min_by("epoch", F.struct("val_loss", "epoch")).alias("best_epoch"),
-        F.min("val_loss").alias("best_val_loss"),
-        F.max_by("loss", "epoch").alias("final_train_loss"),
-        F.max_by("val_loss", "epoch").alias("final_val_loss"),
-    )
+    runs = ex.assign_params(ex.run_stops(fx.history(spark, d), (3, 5))).withColumn("key", ex.experiment_key(DIMS))
+    last = F.coalesce(F.when(F.col("patience") == 3, F.col("at_p3")).otherwise(F.col("at_p5")), F.col("end"))
     score = F.round(stable_hash("bleu", "key", "run_id") / F.lit(4294967296.0), 6)
-    return r0.join(agg, "run_id").withColumn("bleu", score)
+    out = runs.withColumn("last", last).select(
+        "run_id", *DIMS, "key", F.col("last.epoch").alias("epochs"),
+        F.col("last.best_epoch").alias("best_epoch"), F.col("last.best_val_loss").alias("best_val_loss"),
+        F.col("last.loss").alias("final_train_loss"), F.col("last.val_loss").alias("final_val_loss"), score.alias("bleu"),
+    )
+    return written(out, "results")  # one row per run; queries read it more than once
 
 
 @query(

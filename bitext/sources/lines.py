@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.positions import row_positions
+from ..scratch import written
 
 
 def unquote_csv_line(col) -> Column:
@@ -17,21 +17,43 @@ def unquote_csv_line(col) -> Column:
     return F.when(quoted, F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(c)
 
 
+def scanned_lines(spark: SparkSession, path: str, line_sep: str | None = None) -> DataFrame:
+    """file, split (the byte offset where it begins), mid (ascending within a
+    split, without gaps) and value of every line; without ``line_sep`` a line ends
+    with a line feed, a carriage return or both."""
+    reader = spark.read if line_sep is None else spark.read.option("lineSep", line_sep)
+    return reader.text(path).select(
+        F.input_file_name().alias("file"),
+        F.expr("input_file_block_start()").alias("split"),
+        F.monotonically_increasing_id().alias("mid"),
+        "value",
+    )
+
+
+def _with_splits(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The scanned lines, and per split of a file the number of its lines and its first id."""
+    raw = scanned_lines(spark, path)
+    counts = raw.groupBy("file", "split").agg(F.count(F.lit(1)).alias("n"), F.min("mid").alias("first"))
+    return raw, written(counts, "splits")
+
+
+def _numbered(raw: DataFrame, splits: DataFrame, quoted: bool) -> DataFrame:
+    before = Window.orderBy("file", "split").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")
+    placed = raw.join(splits.select("file", "split", offset.alias("offset")), ["file", "split"])
+    text = unquote_csv_line("value") if quoted else F.col("value")
+    return placed.select("file", (F.col("mid") + F.col("offset")).alias("line_no"), text.alias("text"))
+
+
 def read_lines(spark: SparkSession, path: str, quoted: bool = False) -> DataFrame:
     """``line_no`` (0-based over the file, or over a folder of part files in
     name order) and ``text``.
 
-    Line numbers come from the scan order: ``monotonically_increasing_id``
-    grows with the offset inside a file, and a skew-safe dense position over
-    (file name, id) turns it into 0, 1, 2, ... without one task holding all
-    lines.
+    A scan reads files in splits.  One aggregate counts the lines of each split,
+    a prefix over the splits (a row each) tells the number of its first line, and
+    a line's number is that plus its place in the split: no line is moved.
     """
-    raw = spark.read.text(path).select(
-        F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("mid"), "value"
-    )
-    pos = row_positions(raw, [], ["file", "mid"], out="line_no")
-    text = unquote_csv_line("value") if quoted else F.col("value")
-    return pos.select("file", "line_no", text.alias("text"))
+    return _numbered(*_with_splits(spark, path), quoted)
 
 
 def read_aligned(
@@ -39,32 +61,45 @@ def read_aligned(
 ) -> DataFrame:
     """Zip two line files by line number (an equi-join, JOI1).  Raises when
     the two files do not have the same number of lines."""
+    sides = [_with_splits(spark, path) for path in (src_path, tgt_path)]
     # line numbers are dense, so equal counts mean that every line has its partner
-    if spark.read.text(src_path).count() != spark.read.text(tgt_path).count():
+    counts = [splits.agg(F.sum("n")).first()[0] or 0 for _, splits in sides]
+    if counts[0] != counts[1]:
         raise ValueError("aligned files have different line counts")
-    s = read_lines(spark, src_path, quoted).select("line_no", F.col("text").alias("src"))
-    t = read_lines(spark, tgt_path, quoted).select("line_no", F.col("text").alias("tgt"))
-    both = s.join(t, "line_no")
-    return both.select(F.col("line_no").alias("row_id"), F.lit(corpus).alias("corpus"), "src", "tgt")
+    s, t = (_numbered(*side, quoted).select("line_no", F.col("text").alias(name)) for side, name in zip(sides, ("src", "tgt")))
+    return s.join(t, "line_no").select(F.col("line_no").alias("row_id"), F.lit(corpus).alias("corpus"), "src", "tgt")
+
+
+def _aligned(df: DataFrame, order: list[str]) -> DataFrame:
+    """The rows by range of ``order``, checkpointed: every output written from it sees
+    the same partitions, each in order."""
+    return df.repartitionByRange(*order).sortWithinPartitions(*order).checkpoint(eager=True)
 
 
 def write_lines(df: DataFrame, path_prefix: str, sides=("src", "tgt"), order: str = "row_id") -> None:
     """SNK2: each side as raw lines (no CSV quoting), both files in the same
-    row order.  The sorted frame is checkpointed once so both writes see the
-    same range partitions."""
-    ordered = df.orderBy(order).select(*sides).checkpoint(eager=True)
+    row order.  The rows are dealt and sorted once, for both sides."""
+    ordered = _aligned(df.select(order, *sides), [order])
     for side in sides:
         ordered.select(side).write.mode("overwrite").text(f"{path_prefix}.{side}")
 
 
-def save_datasets(splits: DataFrame, out_dir: str, prefix: str) -> None:
+def save_datasets(
+    splits: DataFrame, out_dir: str, prefix: str, names=("train", "valid", "test"), sides=("src", "tgt")
+) -> None:
     """SNK3: one dataset family: a Parquet table partitioned by split, a
-    header CSV per split and the two line files per split."""
-    splits.write.mode("overwrite").partitionBy("split").parquet(f"{out_dir}/{prefix}.parquet")
-    splits = splits.sparkSession.read.parquet(f"{out_dir}/{prefix}.parquet")  # the other outputs read the written table
-    for name in [r["split"] for r in splits.select("split").distinct().collect()]:
-        part = splits.where(F.col("split") == name)
-        part.select("src", "tgt").write.mode("overwrite").option("header", "true").option(
+    header CSV per split and the line files per split.
+
+    The rows go through one range exchange by (split, row_id), are sorted and
+    checkpointed, and every output is written from that: its part files follow
+    each other in row order, and the line files of a split's sides are aligned
+    line by line, part by part.  ``names`` are the splits that get files."""
+    ordered = _aligned(splits, ["split", "row_id"])
+    ordered.write.mode("overwrite").partitionBy("split").parquet(f"{out_dir}/{prefix}.parquet")
+    for name in names:
+        part = ordered.where(F.col("split") == name)
+        part.select(*sides).write.mode("overwrite").option("header", "true").option(
             "escape", '"'
         ).csv(f"{out_dir}/{prefix}_{name}.csv")
-        write_lines(part, f"{out_dir}/{prefix}_{name}")
+        for side in sides:
+            part.select(side).write.mode("overwrite").text(f"{out_dir}/{prefix}_{name}.{side}")
