@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions import ids as idf
 from ..functions import text as tx
+from ..operators import bleu as ob
 from ..operators import bpe
 from ..operators import clean as cl
 from ..operators import vocab as vb
 from ..operators.predict import LookupPredictor, predict_batches
+from ..scratch import written
+from .q_bleu import D, M, sql_bleu, sql_stats
 from .q_text import CLEAN_P_SQL, clean_p
 from .q_vocab import BASE_TOK, MAX_TOKENS, PADDED, SEQ_LEN, encode_sql, padded, sql_ids, vocab_sql
-from .registry import full_query, query
+from .registry import WS_RUN, full_query, query
 
 # Fixed values of the queries.
 BPE_MERGES = 24            # merges of the second, small queries that the oracle follows, one CTE per merge
@@ -195,6 +198,83 @@ def q_bpe_decode_full(spark, d):
     return _decoded(*whole_subword_ids(spark, d, BPE_MERGES_LONG))
 
 
+# ---- reversible subwords (AGG11, ARR7): a mark on every symbol that its word goes on after
+SUBWORD_TOKENS = 60_000  # a vocabulary that holds every subword, marked and unmarked, of 10,000 merges
+_MARK_SQL = f"chr({ord(bpe.CONTINUES)})"
+
+
+def _marked_sql(side: str) -> str:
+    cut = "string_split(trim(sym), '  ')"
+    return (
+        f"(SELECT row_id, list(CASE WHEN j < n - 1 THEN u || {_MARK_SQL} ELSE u END ORDER BY i, j) AS u FROM (SELECT row_id, i, "
+        f"unnest({cut}) AS u, unnest(range(len({cut}))) AS j, len({cut}) AS n FROM (SELECT row_id, unnest({_sql_pre(side)}) AS word, "
+        f"unnest(range(len({_sql_pre(side)}))) AS i FROM c) JOIN w{BPE_MERGES} USING (word)) GROUP BY row_id)"
+    )
+
+
+def marked_subwords(spark, d, merges=BPE_MERGES):
+    """(row_id, s, t): the marked subwords of both sides of every line."""
+    _, segmentation = bpe.learn(word_freqs(spark, d), merges, BPE_MIN_FREQ)
+    sides = {"s": tx.pretokenize(tx.lower("src")), "t": tx.pretokenize(tx.lower("tgt"))}
+    return bpe.segment_words(clean_p(spark, d), "row_id", sides, segmentation, bpe.CONTINUES)
+
+
+def subword_text(spark, d, merges=BPE_MERGES, cut: int | None = None):
+    """(row_id, src, tgt): both sides encoded into ids of one joint vocabulary, padded and
+    cut to ``cut`` ids if given, and decoded to words."""
+    both = written(marked_subwords(spark, d, merges), "marked")
+    sides = F.explode(F.array(*[F.struct(F.lit(name).alias("side"), F.col(c).alias("toks")) for name, c in (("src", "s"), ("tgt", "t"))]))
+    long = both.select("row_id", sides.alias("x")).select("row_id", "x.*")
+    voc = written(vb.build_vocab(long, "toks", max_tokens=SUBWORD_TOKENS), "subwords")
+    ids = vb.encode(long, ["row_id", "side"], "toks", voc, max_tokens=SUBWORD_TOKENS)
+    if cut is not None:
+        ids = ids.select("row_id", "side", idf.pad_truncate("ids", cut).alias("ids"))
+    text = vb.decode(ids, ["row_id", "side"], "ids", voc, max_tokens=SUBWORD_TOKENS)
+    words = text.select("row_id", "side", bpe.join_subwords("text").alias("text"))
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("text"))).alias(side)
+    return words.groupBy("row_id").agg(of("src"), of("tgt"))
+
+
+@query(
+    "bpe_round_trip",
+    f"WITH c AS ({CLEAN_P_SQL}) SELECT row_id, array_to_string({_sql_pre('src')}, ' ') AS src, "
+    f"array_to_string({_sql_pre('tgt')}, ' ') AS tgt FROM c",
+)
+def q_bpe_round_trip(spark, d):
+    """Decoding the ids of every whole line at 10,000 merges gives its words back."""
+    return subword_text(spark, d, BPE_MERGES_LONG)
+
+
+def _decoded_sql(side: str) -> str:
+    return (
+        f"(SELECT p.row_id, rtrim(replace(coalesce(string_agg(v.token, ' ' ORDER BY p.pos), ''), {_MARK_SQL} || ' ', ''), {_MARK_SQL}) AS text "
+        f"FROM (SELECT row_id, unnest(u[1:{SEQ_LEN}]) AS token, unnest(range(least(len(u), {SEQ_LEN}))) AS pos FROM m_{side}) p "
+        "JOIN voc v USING (token) GROUP BY p.row_id)"
+    )
+
+
+@query(
+    "bleu_subword_m4",
+    _bpe_sql(BPE_MERGES)
+    + f", m_src AS MATERIALIZED {_marked_sql('src')}, m_tgt AS MATERIALIZED {_marked_sql('tgt')}, "
+    + f"tok AS (SELECT u AS toks FROM m_src UNION ALL SELECT u FROM m_tgt), voc AS MATERIALIZED ({vocab_sql(SUBWORD_TOKENS)}), "
+    + f"b0 AS (SELECT c.row_id, regexp_extract_all(coalesce(h.text, ''), '{WS_RUN}') AS h, regexp_extract_all(coalesce(r.text, ''), '{WS_RUN}') AS r "
+    + f"FROM c LEFT JOIN {_decoded_sql('src')} h ON c.row_id = h.row_id LEFT JOIN {_decoded_sql('tgt')} r ON c.row_id = r.row_id)"
+    + sql_stats("b0")
+    + f"SELECT row_id, hyp_len, ref_len, round({sql_bleu('hyp_len', 'ref_len', M, D, 'method4')}, 6) AS bleu FROM st",
+)
+def q_bleu_subword_m4(spark, d, merges=BPE_MERGES):
+    """Sentence BLEU (method 4) of words decoded from subword ids, both sides cut to SEQ_LEN ids."""
+    text = subword_text(spark, d, merges, SEQ_LEN).select("row_id", tx.words("src").alias("h"), tx.words("tgt").alias("r"))
+    scored = ob.sentence_bleu(text, "row_id", "h", "r", "method4")
+    return scored.select("row_id", "hyp_len", "ref_len", F.round("score", 6).alias("bleu"))
+
+
+@full_query("bleu_subword_m4_full")
+def q_bleu_subword_m4_full(spark, d):
+    return q_bleu_subword_m4(spark, d, BPE_MERGES_LONG)
+
+
 @query(
     "predict_batches",
     BASE_TOK + PADDED
