@@ -9,7 +9,7 @@ more than any other; the bin spine is generated from one row with
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .positions import row_positions
@@ -80,6 +80,28 @@ def length_coverage(df: DataFrame, length_cols: dict[str, str], under: int = 30)
     )
 
 
+def length_quantiles(
+    df: DataFrame, length_cols: dict[str, str], quantiles: dict[str, float], approx: bool = False
+) -> DataFrame:
+    """AGG4: per side the number of sentences and the length at each quantile: the
+    least length that a share ``q`` of the sentences does not exceed.
+
+    Exact, from a histogram of lengths: sentences are counted per length in the scan
+    tasks, and the running count goes over the distinct lengths alone.
+    ``approx`` takes Spark's quantile sketch instead."""
+    vals = _long_lengths(df, length_cols).where(F.col("len").isNotNull())
+    if approx:
+        cuts = [F.percentile_approx("len", q).cast("long").alias(name) for name, q in quantiles.items()]
+        return vals.groupBy("side").agg(F.count(F.lit(1)).alias("n"), *cuts)
+    counts = vals.groupBy("side", "len").agg(F.count(F.lit(1)).alias("k"))
+    so_far = F.sum("k").over(Window.partitionBy("side").orderBy("len"))
+    total = F.sum("k").over(Window.partitionBy("side"))
+    placed = counts.select("side", "len", so_far.alias("so_far"), total.alias("n"))
+    rank = lambda q: F.greatest(F.ceil(F.lit(float(q)) * F.col("n")), F.lit(1))
+    cuts = [F.min(F.when(F.col("so_far") >= rank(q), F.col("len"))).cast("long").alias(name) for name, q in quantiles.items()]
+    return placed.groupBy("side").agg(F.max("n").alias("n"), *cuts)
+
+
 def max_length(cols: list[str]) -> Column:
     """AGG3/ARR3: the longest sequence over several columns (aggregate expr)."""
     return F.max(F.greatest(*[F.col(c) for c in cols]))

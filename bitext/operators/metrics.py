@@ -38,6 +38,51 @@ def greedy_decode(steps: DataFrame, end_id: int, max_len: int) -> DataFrame:
     return seqs.select("pair_id", cut.alias("ids")).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
+#: Scores are summed up in bands of this width, scaled by the band: exp never overflows.
+_BAND = 64.0
+
+
+def step_loss(labels: DataFrame, steps: DataFrame, keys=("pair_id", "step")) -> DataFrame:
+    """Cross-entropy from scores (logits): keys, real_id and ``loss`` =
+    ln(sum(exp(score))) - score of the real token, over a step's candidates.
+
+    The sum is kept as (band, sum of exp(score - band)) pairs, which add up in any order
+    and grouping, so tasks combine them before the shuffle; a step's few bands are
+    brought to the highest one at the end.  Scores of any size are safe.  Of two
+    candidates with the real token's id the higher score counts; a real token that is no
+    candidate has probability 0 and an infinite loss."""
+    joined = steps.where(F.col("score").isNotNull()).join(labels.select(*keys, "real_id"), list(keys))
+    band = F.floor(F.col("score") / _BAND)
+    bands = joined.groupBy(*keys, "real_id", band.alias("band")).agg(
+        F.sum(F.exp(F.col("score") - band * _BAND)).alias("scaled"),
+        F.max(F.when(F.col("token_id") == F.col("real_id"), F.col("score"))).alias("real_score"),
+    )
+    one = bands.groupBy(*keys, "real_id").agg(
+        F.max("band").alias("top"), F.collect_list(F.struct("band", "scaled")).alias("parts"), F.max("real_score").alias("real_score")
+    )
+    total = F.aggregate(
+        "parts", F.lit(0.0), lambda acc, x: acc + x["scaled"] * F.exp((x["band"] - F.col("top")) * F.lit(_BAND))
+    )
+    log_sum = F.col("top") * F.lit(_BAND) + F.log(total)
+    found = one.select(*keys, "real_id", (log_sum - F.coalesce("real_score", F.lit(float("-inf")))).alias("loss"))
+    return labels.select(*keys, "real_id").join(found.drop("real_id"), list(keys), "left").withColumn(
+        "loss", F.coalesce("loss", F.lit(float("inf")))
+    )
+
+
+def masked_loss(losses: DataFrame) -> DataFrame:
+    """EVA10/EVA11 from ``step_loss``: n_tokens, n_real, the mean loss over real tokens
+    (``loss``) and over all tokens (``loss_all``); padding counts as no loss."""
+    real = F.col("real_id") != PAD_ID
+    total = F.sum(F.when(real, F.col("loss")).otherwise(0.0))
+    return losses.agg(
+        F.count(F.lit(1)).alias("n_tokens"),
+        F.count_if(real).alias("n_real"),
+        F.round(total / F.count_if(real), 6).alias("loss"),
+        F.round(total / F.count(F.lit(1)), 6).alias("loss_all"),
+    )
+
+
 def masked_metrics(labels: DataFrame, preds: DataFrame, keys=("pair_id", "step")) -> DataFrame:
     """EVA9-11 in one pass.
 

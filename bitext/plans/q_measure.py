@@ -112,6 +112,26 @@ def q_length_coverage(spark, d):
     return me.length_coverage(counted_p(spark, d), SIDES, 30)
 
 
+QUANTILES = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
+
+
+@query(
+    "length_quantiles",
+    cte(c=COUNTED_SQL)
+    + """
+, v AS (SELECT 'src' AS side, src_words AS len FROM c UNION ALL SELECT 'tgt', tgt_words FROM c),
+l AS (SELECT side, count(*) AS n, list_sort(list(len)) AS lens FROM v GROUP BY side)
+SELECT side, n, """
+    + ", ".join(
+        f"CAST(lens[CAST(greatest(ceil(CAST({q} AS DOUBLE) * n), 1) AS BIGINT)] AS BIGINT) AS {name}"
+        for name, q in QUANTILES.items()
+    )
+    + " FROM l",
+)
+def q_length_quantiles(spark, d):
+    return me.length_quantiles(counted_p(spark, d), SIDES, QUANTILES)
+
+
 @query(
     "max_length",
     cte(c=COUNTED_SQL)

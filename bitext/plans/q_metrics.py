@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..functions import text as tx
 from ..operators import metrics as mt
 from ..operators import vocab as vb
@@ -78,6 +80,31 @@ def q_masked_loss(spark, d):
     return _metrics(spark, d).select("n_real", "loss")
 
 
+# scores spread over about -1000 to 1200, as unscaled logits may be
+LOGIT_SHIFT, LOGIT_SCALE = 250.0, 4.0
+
+
+@query(
+    "masked_loss_logits",
+    cte(s=fx.S_SQL, lab=fx.LABELS_SQL)
+    + f"""
+, l AS (SELECT s.pair_id, s.step, s.token_id, lab.real_id, (score - CAST({LOGIT_SHIFT} AS DOUBLE)) * CAST({LOGIT_SCALE} AS DOUBLE) AS x
+        FROM s JOIN lab ON s.pair_id = lab.pair_id AND s.step = lab.step),
+m AS (SELECT *, max(x) OVER (PARTITION BY pair_id, step) AS top FROM l),
+t AS (SELECT pair_id, step, any_value(real_id) AS real_id,
+             any_value(top) + ln(sum(exp(x - top))) - max(CASE WHEN token_id = real_id THEN x END) AS loss
+      FROM m GROUP BY pair_id, step)
+SELECT count(*) AS n_tokens, count(*) FILTER (WHERE real_id <> 0) AS n_real,
+       round(sum(CASE WHEN real_id <> 0 THEN loss ELSE 0 END) / count(*) FILTER (WHERE real_id <> 0), 6) AS loss,
+       round(sum(CASE WHEN real_id <> 0 THEN loss ELSE 0 END) / count(*), 6) AS loss_all
+FROM t
+""",
+)
+def q_masked_loss_logits(spark, d):
+    steps = fx.scored_steps(spark, d).withColumn("score", (F.col("score") - LOGIT_SHIFT) * LOGIT_SCALE)
+    return mt.masked_loss(mt.step_loss(fx.step_labels(spark, d), steps))
+
+
 @query("masked_loss_all", METRIC_SQL + "SELECT n_tokens, round(nll / n_tokens, 6) AS loss_all FROM agg")
 def q_masked_loss_all(spark, d):
     return _metrics(spark, d).select("n_tokens", "loss_all")

@@ -11,11 +11,11 @@ from ..operators import bleu as ob
 from ..operators import bpe
 from ..operators import clean as cl
 from ..operators import vocab as vb
-from ..operators.predict import LookupPredictor, predict_batches
+from ..operators.predict import BigramStep, LookupPredictor, decode_loop, predict_with
 from ..scratch import written
 from .q_bleu import D, M, sql_bleu, sql_stats
 from .q_text import CLEAN_P_SQL, clean_p
-from .q_vocab import BASE_TOK, MAX_TOKENS, PADDED, SEQ_LEN, encode_sql, padded, sql_ids, vocab_sql
+from .q_vocab import BASE_TOK, MAX_TOKENS, PADDED, SEQ_LEN, encode_sql, padded, sql_ids, sql_std, vocab_sql
 from .registry import WS_RUN, full_query, query
 
 # Fixed values of the queries.
@@ -282,6 +282,56 @@ def q_bleu_subword_m4_full(spark, d):
     f"THEN x ELSE 1 END), ' ') AS pred_ids FROM pad",
 )
 def q_predict_batches(spark, d):
-    model = LookupPredictor({i: i for i in range(LOOKUP_SIZE)}, default=1)
-    pred = predict_batches(padded(spark, d), ["row_id"], "ids", model, batch_size=256)
+    """The model is built once per worker."""
+
+    def make():
+        return LookupPredictor({i: i for i in range(LOOKUP_SIZE)}, default=1)
+
+    pred = predict_with(padded(spark, d), ["row_id"], "ids", make, SEQ_LEN, batch_size=256)
     return pred.select("row_id", tx.array_to_text("pred_ids").alias("pred_ids"))
+
+
+# ---- greedy decoding with a model in the loop (UDF4)
+MAX_DECODE = 40  # decode cap of the reference's translate loop
+
+_FIRST_SQL = f"SELECT row_id, ({sql_std('src')})[1] AS token FROM ({CLEAN_P_SQL})"
+
+
+@query(
+    "decode_loop",
+    BASE_TOK.replace("WITH ", "WITH RECURSIVE ", 1)
+    + f""", n AS (SELECT a, b, count(*) AS n FROM (SELECT unnest(ids[1:len(ids) - 1]) AS a, unnest(ids[2:]) AS b FROM enc) GROUP BY a, b),
+nxt AS (SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS rn FROM n) WHERE rn = 1),
+stop AS (SELECT id AS stop FROM voc WHERE token = '[end]'),
+f AS (SELECT row_id, CASE WHEN t.token IS NULL THEN 0 ELSE coalesce(v.id, 1) END AS id FROM ({_FIRST_SQL}) t LEFT JOIN voc v ON t.token = v.token),
+loop AS (SELECT row_id, 1 AS step, coalesce(b, stop) AS id FROM f LEFT JOIN nxt ON f.id = nxt.a, stop
+         UNION ALL
+         SELECT row_id, step + 1, coalesce(b, stop) FROM loop LEFT JOIN nxt ON loop.id = nxt.a, stop
+         WHERE loop.id <> stop AND step < {MAX_DECODE}),
+kept AS (SELECT row_id, step, id FROM loop, stop WHERE id <> stop)
+SELECT f.row_id, CAST(count(k.id) AS BIGINT) AS n_tokens, coalesce(string_agg(CAST(k.id AS VARCHAR), ' ' ORDER BY k.step), '') AS ids
+FROM f LEFT JOIN kept k ON f.row_id = k.row_id GROUP BY f.row_id""",
+)
+def q_decode_loop(spark, d):
+    """Every source line is decoded by a bigram model of the target side, one token a step."""
+    toks = written(
+        clean_p(spark, d).select(
+            "row_id", tx.standardize_words(tx.wrap_markers("tgt")).alias("toks"), tx.standardize_words("src").alias("source")
+        ),
+        "tokens",
+    )
+    voc = written(vb.build_vocab(toks, "toks", max_tokens=MAX_TOKENS), "vocabulary")
+    marks = {r.token: r.id for r in voc.where(F.col("token").isin(tx.START_MARK, tx.END_MARK)).collect()}
+    ids = vb.encode(toks, ["row_id"], "toks", voc, max_tokens=MAX_TOKENS)
+    pairs = ids.select(F.explode(F.arrays_zip(F.expr("slice(ids, 1, size(ids) - 1)").alias("a"), F.expr("slice(ids, 2, size(ids))").alias("b"))).alias("p"))
+    counts = pairs.where(F.col("p.b").isNotNull()).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy("a").agg(F.max_by("b", F.struct(F.col("n"), -F.col("b"))).alias("b"))
+    table = spark.sparkContext.broadcast({r.a: r.b for r in best.collect()})  # at most a row per id of the vocabulary
+    end = marks[tx.END_MARK]
+
+    def make():
+        return BigramStep(table.value, end)
+
+    source = vb.encode(toks.select("row_id", "source"), ["row_id"], "source", voc, max_tokens=MAX_TOKENS)
+    out = decode_loop(source, ["row_id"], "ids", make, marks[tx.START_MARK], end, MAX_DECODE)
+    return out.select("row_id", F.size("ids").cast("long").alias("n_tokens"), tx.array_to_text("ids").alias("ids"))

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .split_csv import read_csv_in_splits
+
 BITEXT_SCHEMA = T.StructType(
     [
         T.StructField("row_id", T.LongType(), False),
@@ -50,6 +52,7 @@ def read_bitext_csv(
     id_col: str | None = None,
     na_values: Iterable[str] = (),
     multi_line: bool = True,
+    in_splits: bool = False,
 ) -> DataFrame:
     """SRC1 + SRC4: read a two-column CSV (quoted, embedded commas and
     newlines) and map its columns to ``src``/``tgt``.
@@ -58,12 +61,15 @@ def read_bitext_csv(
     of the scan: unique and increasing in file order, not dense, and different
     when the file is split differently; name an id column where draws must
     repeat.  ``na_values``: further strings that count as null.
-    ``multi_line=False`` lets a large file without embedded newlines be split."""
+    ``multi_line=False`` lets a large file without embedded newlines be split;
+    ``in_splits`` reads one with embedded newlines in many tasks
+    (``split_csv``), and the row id is then the number of the record."""
     # no schema: every column is read as a string under its header name, so
     # the file's column order does not matter (a positional schema would)
-    df = _csv_reader(spark, multi_line=multi_line).csv(path)
+    df = read_csv_in_splits(spark, path) if in_splits else _csv_reader(spark, multi_line=multi_line).csv(path)
     check_columns(df, [src_col, tgt_col] + ([id_col] if id_col else []))
-    rid = F.col(id_col).cast("long") if id_col else F.monotonically_increasing_id()
+    number = F.col("record_no") if in_splits else F.monotonically_increasing_id()
+    rid = F.col(id_col).cast("long") if id_col else number
     gone = list(na_values)
 
     def side(name: str):

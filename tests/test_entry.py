@@ -31,7 +31,8 @@ def _norm(v):
 @pytest.mark.parametrize(
     "name",
     ["clean_corpus", "ratio_filter", "stage_counts", "encode_ids", "bleu_sent_m4", "recipe_set3",
-     "early_stop", "greedy_decode", "masked_loss", "grid_missing", "dict_report", "pretokenize", "split_absolute", "bpe_apply"],
+     "early_stop", "greedy_decode", "masked_loss", "grid_missing", "dict_report", "pretokenize", "split_absolute", "bpe_apply",
+     "bleu_subword_m4", "decode_loop", "masked_loss_logits", "length_quantiles", "experiment_results", "shuffle_rows", "vocab_ws"],
 )
 def test_query_matches_oracle_small(spark, name):
     con = duckdb.connect()

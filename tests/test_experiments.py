@@ -73,3 +73,35 @@ def test_grid_from_lists_is_in_product_order(spark):
     rows = ex.grid_from_values(spark, values).orderBy("grid_idx").collect()
     assert [tuple(r[k] for k in values) for r in rows] == list(itertools.product(*values.values()))
     assert rows[0].key == "patience=3_units=128_regularizer=None_dropout=0.3"
+
+
+def test_states_equal_a_walk_over_the_history(spark, monkeypatch):
+    """Segments of three epochs, gaps between epochs, ties, missing values."""
+    import random
+
+    from bitext.operators import experiments as ex
+
+    monkeypatch.setattr(ex, "SEGMENT", 3)
+    rnd = random.Random(8)
+    rows = []
+    for run in range(40):
+        epochs = sorted(rnd.sample(range(1, 60), rnd.randint(1, 40)))
+        falling = run % 4 == 0
+        for i, e in enumerate(epochs):
+            v = None if rnd.random() < 0.05 else float(-i if falling else rnd.randint(0, 9))
+            rows.append((run, e, float(e), v))
+    df = spark.createDataFrame(rows, "run_id long, epoch int, loss double, val_loss double").repartition(5)
+    got = {r.run_id: r for r in ex.run_stops(df, (2, 5)).collect()}
+    for run in range(40):
+        best = at = None
+        stops, state = {}, None
+        for _, e, loss, v in sorted(r for r in rows if r[0] == run):
+            if v is not None and (best is None or v < best):
+                best, at = v, e
+            state = (e, loss, v, at, best)
+            for p in (2, 5):
+                if p not in stops and at is not None and e - at >= p:
+                    stops[p] = state
+        assert tuple(got[run].end) == state
+        for p in (2, 5):
+            assert (tuple(got[run][f"at_p{p}"]) if got[run][f"at_p{p}"] else None) == stops.get(p)

@@ -53,6 +53,24 @@ def test_aligned_lines_round_trip(spark):
     assert got == [(i, f"src {i}, with comma", f"tgt {i}") for i in range(50)]
 
 
+def test_line_numbers_over_splits_and_files(spark):
+    from bitext.sources.lines import read_lines
+
+    folder = _tmp()
+    for name, n in (("b", 700), ("a", 500), ("c", 0)):
+        with open(os.path.join(folder, name), "w") as f:
+            f.writelines(f"{name} {i}\n" for i in range(n))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = sorted((r.line_no, r.text) for r in read_lines(spark, folder).collect())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == list(enumerate([f"a {i}" for i in range(500)] + [f"b {i}" for i in range(700)]))
+
+
 def test_quoted_lines_are_decoded(spark):
     d = _tmp()
     with open(os.path.join(d, "a.txt"), "w") as f:
@@ -85,6 +103,15 @@ def test_save_datasets_and_append(spark):
     assert back.count() == 30 and {r.split for r in back.select("split").distinct().collect()} == {"train", "valid", "test"}
     lines = spark.read.text(f"{out}/set3_valid.tgt").collect()
     assert sorted(r.value for r in lines) == sorted(f"t, {i}" for i in range(30) if i % 3 == 1)
+    # the sides of a split are aligned, part by part, and in row order
+    for name, rest in (("train", 0), ("valid", 1), ("test", 2)):
+        sides = []
+        for side in ("src", "tgt"):
+            folder = f"{out}/set3_{name}.{side}"
+            sides.append([open(os.path.join(folder, f)).read().splitlines() for f in sorted(os.listdir(folder)) if f.startswith("part")])
+        assert list(map(len, sides[0])) == list(map(len, sides[1]))
+        assert [x for part in sides[0] for x in part] == [f"s {i}" for i in range(30) if i % 3 == rest]
+        assert [x for part in sides[1] for x in part] == [f"t, {i}" for i in range(30) if i % 3 == rest]
     res = spark.createDataFrame([(3, 0.1)], "patience int, bleu double")
     append_results(res, f"{out}/results")
     append_results(res, f"{out}/results")
