@@ -16,11 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.positions import row_positions
+from ..sources.lines import FUNCTION_WORDS, LINE_ID_STRIDE
 from ..sources.tables import spread, table
 
 # Fixed values of the fixtures.
-LINE_ID_STRIDE = 1 << 32         # row_id = doc_id * stride + line number: no two lines share one
-FUNCTION_WORDS = r"(^| )(the|of|is) "
 PRO_EVERY = 5                    # doc_id % 5 = 0 -> corpus 'pro'
 CANDIDATES_PER_STEP = 4
 END_TOKEN = 7

@@ -149,7 +149,7 @@ def subword_tokens(spark, d, merges=BPE_MERGES):
 
 def whole_subword_ids(spark, d, merges):
     """(row_id, ids of the whole line) and the vocabulary."""
-    toks = subword_tokens(spark, d, merges).persist()
+    toks = written(subword_tokens(spark, d, merges), "tokens")
     voc = vb.build_vocab(toks, "toks", max_tokens=MAX_TOKENS)
     return vb.encode(toks, ["row_id"], "toks", voc, max_tokens=MAX_TOKENS), voc
 

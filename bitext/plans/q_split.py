@@ -7,11 +7,11 @@ ratio-filtered parallel lines.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..operators import clean as cl
 from ..operators import split as sp
+from ..scratch import written
 from . import fixtures as fx
 from .q_text import COUNTED_SQL, counted_p
 from .registry import cte, query
@@ -28,10 +28,9 @@ SET3_B, SET3_B_OF = 3000, 4111     # 3,000 of 4,111 filtered B rows
 
 
 def filtered(spark, d):
-    """Both corpora after cleaning and the ratio band (persisted: every
+    """Both corpora after cleaning and the ratio band (written: every
     recipe reads it several times and needs its row counts)."""
-    f = cl.ratio_filter(counted_p(spark, d)).select("row_id", "corpus", "src", "tgt")
-    return f.persist(StorageLevel.MEMORY_AND_DISK)
+    return written(cl.ratio_filter(counted_p(spark, d)).select("row_id", "corpus", "src", "tgt"), "filtered")
 
 
 def corpora(spark, d):

@@ -3,7 +3,6 @@ batches, dictionary report (AGG5-7, ARR1-9, FLT6-7, FLT9-10, STR15)."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..functions import ids as idf
@@ -11,6 +10,7 @@ from ..functions import text as tx
 from ..operators import measure as me
 from ..operators.batches import with_batch
 from ..operators import vocab as vb
+from ..scratch import written
 from .q_split import BASE, SET3_SQL, recipe3
 from .q_text import CLEAN_P_SQL, clean_p
 from .registry import WS_RUN, cte, query, sql_words
@@ -75,7 +75,7 @@ def vocab(spark, d, cap=MAX_TOKENS, toks=None):
 
 def encoded(spark, d, cap=MAX_TOKENS, drop_oov=False):
     # the token table feeds the vocabulary and the encoding: build it once
-    toks = tokens(spark, d).persist(StorageLevel.MEMORY_AND_DISK)
+    toks = written(tokens(spark, d), "tokens")
     return vb.encode(toks, ["row_id"], "toks", vocab(spark, d, cap, toks), drop_oov=drop_oov, max_tokens=cap)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.clean import ratio_filter, with_word_counts
 from .split_csv import read_csv_in_splits
 
 BITEXT_SCHEMA = T.StructType(
@@ -103,6 +104,14 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", "true").option("quote", '"').option("escape", '"').csv(path)
 
 
+def save_by_ratio(df: DataFrame, path: str, lo: float = 0.75, hi: float = 1.25) -> None:
+    """SRT2: keep the pairs whose word ratio lies in [lo, hi], sort them by falling ratio
+    (Spark's range exchange; part files follow each other in that order) and write
+    them as CSV with their row id, word counts and ratio."""
+    kept = ratio_filter(with_word_counts(df), lo, hi)
+    write_csv(kept.orderBy(F.col("ratio").desc(), "row_id"), path)
+
+
 def append_results(df: DataFrame, path: str) -> None:
     """SNK4: append result rows to a Parquet table."""
     df.write.mode("append").parquet(path)

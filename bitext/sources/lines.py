@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from ..scratch import written
 
+# How lines of documents become pairs of a parallel text.
+LINE_ID_STRIDE = 1 << 32         # row_id = doc_id * stride + line number: no two lines share one
+FUNCTION_WORDS = r"(^| )(the|of|is) "
+
 
 def unquote_csv_line(col) -> Column:
     """Decode a line that a CSV writer quoted: drop the outer quotes and turn

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import clean as cl
-from ..plans.fixtures import LINE_ID_STRIDE
+from ..sources.lines import FUNCTION_WORDS, LINE_ID_STRIDE
 
 DOCUMENT_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -25,7 +25,7 @@ def line_pairs(docs: DataFrame) -> DataFrame:
     lines = docs.select("doc_id", F.posexplode(F.split(F.col("text"), "\n")).alias("line_no", "tgt"))
     return lines.select(
         (F.col("doc_id") * LINE_ID_STRIDE + F.col("line_no")).alias("row_id"),
-        F.regexp_replace("tgt", r"(^| )(the|of|is) ", "$1").alias("src"),
+        F.regexp_replace("tgt", FUNCTION_WORDS, "$1").alias("src"),
         "tgt",
     )
 

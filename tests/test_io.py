@@ -137,3 +137,13 @@ def test_na_values_and_csv_append(spark):
     append_results_csv(spark.createDataFrame([(3, "c, d", 'q"')], "row_id long, l string, r string"), out)
     back = read_bitext_csv(spark, out, "l", "r", "ai", id_col="row_id", na_values=["n/a", "-"], multi_line=False)
     assert sorted((r.row_id, r.src, r.tgt) for r in back.collect()) == [(1, None, "x"), (2, "b", None), (3, "c, d", 'q"')]
+
+
+def test_save_by_ratio(spark):
+    from bitext.sources.bitext_io import save_by_ratio
+
+    rows = [(i, "ai", "a b c d", " ".join("x" * n)) for i, n in enumerate([4, 3, 5, 2, 4, 5, 9])]
+    out = os.path.join(_tmp(), "s")
+    save_by_ratio(spark.createDataFrame(rows, "row_id long, corpus string, src string, tgt string"), out)
+    parts = [open(os.path.join(out, f)).read().splitlines() for f in sorted(os.listdir(out)) if f.startswith("part")]
+    assert [line.split(",")[0] for part in parts for line in part[1:]] == ["2", "5", "0", "4"]
