@@ -11,7 +11,8 @@ from bitext.llm.common import held_out
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, bound: int, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, text, label) of at most ``bound`` labelled documents outside the
     held-out part, chosen by a hash of the id.  A document with several labels
-    counts with the least; null ids and null labels are left out."""
+    counts with the least, an id with several texts with the first of them in order;
+    null ids and null labels are left out."""
     known = (
         labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
         .filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("doc_id")))
@@ -21,4 +22,6 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, bound: int, id
     # the label's ids first (small rows), at most ``bound`` of them; then their texts
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id")
+    found = texts.join(F.broadcast(chosen), "doc_id")
+    # an id's rows: one of them, so that the bound holds for rows, too
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))

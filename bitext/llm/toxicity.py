@@ -16,12 +16,15 @@ of a document is its highest sentence's, made a probability by a logistic fit.
 
 Landmarks are words typical of toxic training documents; those that no other
 training document has also train the SVM in every form with one letter inserted
-or left out.  Training takes at most ``LABELLED`` documents, scoring every
+or left out.  Training takes at most ``LABELLED`` documents and of each the at most
+``SENTENCES`` sentences that are most like a landmark, so the driver gets at most
+``LABELLED * SENTENCES`` rows of ``LANDMARKS`` numbers, 37 MB; scoring takes every
 whole text.
 
 Edge cases: null counts as empty; texts without words score like a sentence
 without any similarity; without labelled rows of both kinds every score is 0;
-repeated rows stay; further columns pass through."""
+repeated rows stay; further columns pass through, a score of a name that the table has
+is an error."""
 
 from __future__ import annotations
 
@@ -37,6 +40,7 @@ from bitext.llm.common import parts
 from bitext.llm.labelled import training_rows
 
 LABELLED = 6000
+SENTENCES = 16  # of a labelled document that the SVM is trained on
 LANDMARKS = 96
 CANDIDATES = 600
 DECAY = 0.6
@@ -46,7 +50,7 @@ SURE = 5  # toxic documents that a word without others must be in
 FLOOR = 0.03  # kernel values below count as none
 TOXIC_SCORE = 0.3
 _LONG = 48  # a longer word is read in pieces that overlap by half
-_CACHE = 150_000
+_CACHE = 150_000  # words known; as many older ones are kept beside them
 _CHUNK = 5_000
 
 #: Offsets of the second and third character and the weight of a subsequence.
@@ -59,9 +63,11 @@ _MARKS = re.compile(r"[\W_]+")
 def words_of(sentence: str) -> list[str]:
     """Lower-case words without marks; a run of three or more single characters
     gives one more word."""
+    cleaned = [c if c.isalnum() else _MARKS.sub("", c) for c in sentence.lower().split()]
+    if 1 not in map(len, cleaned):
+        return [w for w in cleaned if len(w) > 2]
     out, run = [], []
-    for chunk in sentence.lower().split():
-        word = chunk if chunk.isalnum() else _MARKS.sub("", chunk)
+    for word in cleaned:
         if len(word) == 1:
             run.append(word)
             continue
@@ -114,16 +120,23 @@ class Landmarks:
         self.words = words
         who, code, weight = subsequences(words)
         norm = np.sqrt(np.bincount(who, weight**2, minlength=len(words)))
-        self.codes = np.unique(code)
-        self.table = np.zeros((len(self.codes) + 1, len(words)), np.float64)
-        self.table[np.searchsorted(self.codes, code), who] = weight / norm[who]
+        # per code the landmarks that have it, and their weights: a code is in few of them
+        order = np.argsort(code, kind="stable")
+        self.codes, first = np.unique(code[order], return_index=True)
+        self.first = np.append(first, len(order))
+        self.marks, self.weights = who[order], (weight / norm[who])[order]
         gram = self.kernel(words)
         values, vectors = np.linalg.eigh(gram + 1e-3 * np.eye(len(words)))
         self.root = vectors @ np.diag(np.maximum(values, 1e-6) ** -0.5) @ vectors.T
-        self.memory: dict[str, np.ndarray | None] = {}
+        #: what a word is like: the number of its row in ``rows``, or -1; older words apart
+        self.known: dict[str, int] = {}
+        self.older: dict[str, int] = {}
+        self.rows = np.zeros((0, len(words)), np.float32)
+        self.n_rows = 0
 
     def kernel(self, words: list[str]) -> np.ndarray:
-        out = np.zeros((len(words), len(self.words)))
+        n = len(self.words)
+        out = np.zeros((len(words), n))
         if not len(self.codes):
             return out
         for i in range(0, len(words), _CHUNK):
@@ -134,50 +147,84 @@ class Landmarks:
             hit = np.flatnonzero(self.codes[at] == code)
             if not len(hit):
                 continue
-            values = self.table[at[hit]] * (weight[hit] / norm[who[hit]])[:, None]
-            own = who[hit]  # ascending
-            starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            out[i + own[starts]] = np.minimum(np.add.reduceat(values, starts, axis=0), 1) ** POWER
+            some = at[hit]
+            sizes = self.first[some + 1] - self.first[some]
+            each = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(self.first[some], sizes)
+            value = self.weights[each] * np.repeat(weight[hit] / norm[who[hit]], sizes)
+            place = np.repeat(who[hit], sizes) * n + self.marks[each]
+            sums = np.bincount(place, value, minlength=len(part) * n)
+            out[i : i + len(part)] = np.minimum(sums.reshape(-1, n), 1) ** POWER
         return out
 
     def learn(self, words: set[str]) -> None:
-        if len(self.memory) > _CACHE:
-            self.memory.clear()
-        new = [w for w in words if w not in self.memory]
-        pieces = [(w, p) for w in new for p in _pieces(w)]
+        """Know all of ``words``; words that no text had for long are dropped."""
+        if len(self.known) > _CACHE:
+            self.older, self.known = self.known, {}
+            kept = [w for w, row in self.older.items() if row >= 0]
+            self.rows = self.rows[[self.older[w] for w in kept]]
+            self.older.update(zip(kept, range(len(kept))))
+            self.n_rows = len(kept)
+        new = []
+        for w in words - self.known.keys():
+            row = self.older.get(w)
+            if row is None:
+                new.append(w)
+            else:
+                self.known[w] = row
+        self.known.update(dict.fromkeys(new, -1))
+        pieces, of = [], []
+        for w in new:
+            mine = _pieces(w)
+            pieces += mine
+            of += [w] * len(mine)
         for i in range(0, len(pieces), _CHUNK):
-            some = pieces[i : i + _CHUNK]
-            values = self.kernel([p for _, p in some])
-            near = values.max(axis=1) >= FLOOR if values.shape[1] else np.zeros(len(some), bool)
-            for (w, _), v, yes in zip(some, values, near):
-                old = self.memory.get(w)
-                self.memory[w] = (np.maximum(old, v) if old is not None else v.astype(np.float32)) if yes else old
+            values = self.kernel(pieces[i : i + _CHUNK]).astype(np.float32)
+            for j in np.flatnonzero(values.max(axis=1, initial=0) >= FLOOR).tolist():
+                row = self.known[of[i + j]]
+                if row >= 0:  # another piece of the word
+                    self.rows[row] = np.maximum(self.rows[row], values[j])
+                    continue
+                if self.n_rows == len(self.rows):
+                    self.rows = np.concatenate([self.rows, np.zeros((max(1024, self.n_rows), len(self.words)), np.float32)])
+                self.rows[self.n_rows] = values[j]
+                self.known[of[i + j]] = self.n_rows
+                self.n_rows += 1
 
     def sentences(self, texts: list[str]) -> list[np.ndarray]:
         """For each text the features of its sentences with any similarity."""
         cut = [[words_of(s) for s in sentences_of(t)] for t in texts]
         self.learn({w for sentences in cut for words in sentences for w in words})
-        out = []
+        find, rows, starts, sizes = self.known.__getitem__, [], [], []
         for sentences in cut:
-            rows = []
+            n = len(starts)
             for words in sentences:
-                near = [v for v in map(self.memory.get, words) if v is not None]
+                near = [r for r in map(find, words) if r >= 0]
                 if near:
-                    rows.append(np.maximum.reduce(near))
-            out.append(np.array(rows, np.float32).reshape(-1, len(self.words)))
-        return out
+                    starts.append(len(rows))
+                    rows += near
+            sizes.append(len(starts) - n)
+        if not starts:
+            return [np.zeros((0, len(self.words)), np.float32) for _ in texts]
+        all_rows = np.maximum.reduceat(self.rows[rows], starts, axis=0)
+        return np.split(all_rows, np.cumsum(sizes)[:-1])
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1.0) -> np.ndarray:
     """Weights and bias of an L2-regularised squared-hinge SVM by Newton steps."""
-    x = np.concatenate([x, np.ones((len(x), 1))], 1)
+    x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1)
     w = np.zeros(x.shape[1])
     ridge = np.eye(len(w))
     ridge[-1, -1] = 1e-3
     for _ in range(30):
-        inside = y * (x @ w) < 1
-        xi, wi = x[inside], weight[inside]
-        new = np.linalg.solve(ridge + c * (xi * wi[:, None]).T @ xi, c * (xi * wi[:, None]).T @ y[inside])
+        inside = np.flatnonzero(y * (x @ w) < 1)
+        left, right = ridge.copy(), np.zeros(len(w))
+        for i in range(0, len(inside), _CHUNK):  # sums in doubles, a slice of rows at a time
+            some = inside[i : i + _CHUNK]
+            xi = x[some].astype(float)
+            scaled = (xi * (c * weight[some])[:, None]).T
+            left += scaled @ xi
+            right += scaled @ y[some]
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-6):
             break
         w = new
@@ -210,7 +257,7 @@ class Model:
         forms = [a for w in sure for a in altered(w)]
         extra = marks.kernel(forms) @ marks.root if forms else np.zeros((0, len(marks.words)))
         self.marks = marks
-        x = np.concatenate(docs) @ marks.root
+        x = (np.concatenate(docs) @ marks.root.astype(np.float32)).astype(np.float32)
         doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
         toxic_row = toxic[doc] > 0
         use = np.ones(len(x), bool)
@@ -218,7 +265,7 @@ class Model:
             y = np.where(toxic_row, 1.0, -1.0)[use]
             # as much weight on the toxic sentences as on the others, and a row for "no similarity"
             weight = np.where(y > 0, max(1.0, (y < 0).sum() / max(1, (y > 0).sum())) ** 0.5, 1.0)
-            rows = np.concatenate([x[use], extra, np.zeros((1, x.shape[1]))])
+            rows = np.concatenate([x[use], extra.astype(np.float32), np.zeros((1, x.shape[1]), np.float32)])
             y = np.concatenate([y, np.ones(len(extra)), [-1.0]])
             self.w = _svm(rows, y, np.concatenate([weight, np.full(len(extra), FORM_WEIGHT), [10.0]]))
             f = x @ self.w[:-1] + self.w[-1]
@@ -253,6 +300,15 @@ def pick_landmarks(counts: list[tuple[str, int, int]], bound: int = LANDMARKS) -
     return [counts[i][0] for i in taken]
 
 
+def hardest(rows: np.ndarray, bound: int | None = None) -> np.ndarray:
+    """At most ``SENTENCES`` of a document's sentences, those with the largest similarity to
+    a landmark, in their order."""
+    bound = SENTENCES if bound is None else bound
+    if len(rows) <= bound:
+        return rows
+    return rows[np.sort(np.argsort(-rows.max(axis=1), kind="stable")[:bound])]
+
+
 def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Model | None:
     sample = training_rows(docs, labels, "toxic", bound)
 
@@ -279,7 +335,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Model | No
 
     def features(batches):
         for b in parts(batches):
-            rows = shared.value.sentences([t or "" for t in b.column(1).to_pylist()])
+            rows = [hardest(r) for r in shared.value.sentences([t or "" for t in b.column(1).to_pylist()])]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(2), pa.array([r.tobytes() for r in rows], pa.binary())], names=["doc_id", "label", "rows"]
             )
@@ -292,6 +348,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Model | No
 
 
 def with_score(docs: DataFrame, model: Model | None, text_col: str = "text", out: str = "score") -> DataFrame:
+    if out.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"the table has a column {out} already; name another one for the score")
     if model is None:
         return docs.withColumn(out, F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)
