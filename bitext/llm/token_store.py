@@ -14,7 +14,7 @@ knows will do and a lost task's output is replaced by the commit protocol):
 A short document is read with one index entry, the dictionary and its own
 frame.  Ids are serialised as little-endian unsigned integers of 2 or 4 bytes
 by vocabulary size.  The dictionary is trained on the serialised ids of a
-random sample of about ``SAMPLE_DOCS`` documents, whatever the input's size.
+random sample of about ``SAMPLE_DOCS`` documents, ``SAMPLE_BYTES`` of each at most.
 
 Edge cases: null text counts as empty and gives the end id alone; rows with
 equal ids stay, ordered by their frames; null ids come first; an empty table gives
@@ -42,7 +42,8 @@ DICT_BYTES = 64 << 10
 SAMPLE_DOCS = 1000
 SEGMENT_BYTES = 1 << 20
 LEVEL = 3
-CACHE = 300_000
+CACHE = 250_000  # words, and pieces of words, remembered; as many older ones are kept beside them
+SAMPLE_BYTES = 8 << 10  # of a sampled document's ids
 
 _ENTRY = "struct<doc_id:bigint,offset:bigint,length:bigint,n_tokens:bigint,before:bigint>"
 
@@ -69,7 +70,6 @@ class WordIds:
         self.whole.encode_special_tokens = True
         self.untouched = make(path_or_json) if added else None
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()] if added else []
-        self.folded = [x.lower() for x in self.added]
         self.lean = make(path_or_json)
         self.lean.encode_special_tokens = True
         self.lean.normalizer = normalizers.Sequence([])
@@ -85,7 +85,13 @@ class WordIds:
             r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+| "
         ).findall  # and the space between words that are cut together
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {"": b""}
+        self.older_words: dict[str, bytes] = {}
+        #: what every added token begins with, where that has no case; most texts lack it
+        start = os.path.commonprefix(self.added)
+        self.sign = start if start == start.lower() == start.upper() else ""
+        self.any_added = regex.compile("|".join(map(regex.escape, self.added)), regex.IGNORECASE) if self.added else None
 
     def _plain(self, words: list[str]) -> list[bytes]:
         found = self.whole.encode_batch_fast(words, add_special_tokens=False)
@@ -99,7 +105,7 @@ class WordIds:
             (easy if w.isascii() and w.isprintable() or _EASY(w) else hard).append(w)
         self.words.update(zip(hard, self._plain(hard)))
         cut = self.pieces(unicodedata.normalize("NFC", " ".join(easy)).lower())
-        new = [p for p in set(cut) if p not in self.known and p != " "]
+        new = self._missing(set(cut) - {" "}, self.known, self.older)
         step = 4096
         for i in range(0, len(new), step):
             part = new[i : i + step]
@@ -120,10 +126,21 @@ class WordIds:
         done.append(b"".join(word))
         self.words.update(zip(easy, done))
 
+    @staticmethod
+    def _missing(wanted: set[str], known: dict[str, bytes], older: dict[str, bytes]) -> list[str]:
+        """What neither knows; what only ``older`` knows is remembered again."""
+        out = []
+        for x in wanted - known.keys():
+            ids = older.get(x)
+            if ids is None:
+                out.append(x)
+            else:
+                known[x] = ids
+        return out
+
     def _may_hold(self, text: str) -> bool:
         """An added token, whatever the file says of folding before the search."""
-        low = text.lower()
-        return any(x in text for x in self.added) or any(x in low for x in self.folded)
+        return self.sign in text and self.any_added.search(text) is not None
 
     def encode(self, texts: list[str], chunk_chars: int = 2_000_000) -> list[bytes]:
         whole = {}
@@ -145,12 +162,12 @@ class WordIds:
                 size += len(texts[to])
                 to += 1
             if len(self.words) > CACHE:
-                self.words = {"": b""}
+                self.older_words, self.words = self.words, {"": b""}
             if len(self.known) > CACHE:
-                self.known = {}
+                self.older, self.known = self.known, {}
             cut = [t.replace("\n", " ").split(" ") for t in texts[at:to]]
             known = self.words
-            self._learn([w for w in set().union(*cut) if w not in known])
+            self._learn(self._missing(set().union(*cut), known, self.older_words))
             out += [b"".join(map(known.__getitem__, words)) for words in cut]
             at = to
         return out
@@ -198,7 +215,8 @@ def write_store(
 
     def sample(batches):
         for b in parts(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(coded(b.column(0).to_pylist()), pa.binary())], names=["ids"])
+            some = [ids[:SAMPLE_BYTES] for ids in coded([t[:SAMPLE_BYTES] for t in b.column(0).to_pylist()])]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary())], names=["ids"])
 
     share = SAMPLE_DOCS / max(docs.count(), SAMPLE_DOCS)
     some = rows.filter(F.rand(7) < share).select("text").mapInArrow(sample, "ids binary")
