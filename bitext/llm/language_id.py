@@ -17,7 +17,9 @@ tempered text likelihood.
 Edge cases: null or empty html has no text evidence; a url without host counts
 as host ''; a language outside the sample's is declared as 'other', none as '';
 ties go to the first language in alphabetic order; repeated rows stay and count
-each; null ids stay; an empty table gives no rows; further columns are not read."""
+each; null ids stay; an empty table gives no rows; without any document of known
+language every page's language is '' with confidence 0; an end tag that is missing hides
+nothing; further columns are not read."""
 
 from __future__ import annotations
 
@@ -36,20 +38,56 @@ SAMPLE = 2000
 EFFECTIVE = 40
 STRENGTH = 20.0  # pseudo-pages of the level above
 
-_HIDDEN = re.compile(r"<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
+_FLAGS = re.I | re.A
+_HIDDEN = re.compile(r"<(script|style|noscript)\b|<!--", _FLAGS)
+_ENDS = {name: re.compile(rf"</{name}\s*>", _FLAGS) for name in ("script", "style", "noscript")} | {"": re.compile("-->")}
 _TAG = re.compile(r"<[^>]*>")
 _NO_LETTER = re.compile(r"[\W\d_]+")
-_HTML_LANG = re.compile(r"<html\b[^>]*?\slang\s*=\s*[\"']?\s*([a-z]{2,3})\b", re.I)
-_META_LANG = re.compile(r"<meta\b[^>]*content-language[^>]*content\s*=\s*[\"']?\s*([a-z]{2,3})\b", re.I)
+_HTML, _META = re.compile(r"<html\b", _FLAGS), re.compile(r"<meta\b", _FLAGS)
+_LANG = re.compile(r"\slang\s*=\s*[\"']?\s*([a-z]{2,3})\b", _FLAGS)
+_HEADER = re.compile("content-language", _FLAGS)
+_CONTENT = re.compile(r"content\s*=\s*[\"']?\s*([a-z]{2,3})\b", _FLAGS)
+
+
+def _shown(page: str) -> str:
+    """The page without scripts, styles and comments, in one pass: an end that is not
+    found once is not looked for again."""
+    out, done, at, endless = [], 0, 0, set()
+    while (start := _HIDDEN.search(page, at)) is not None:
+        name = (start[1] or "").lower()
+        end = None if name in endless else _ENDS[name].search(page, start.end())
+        if end is None:
+            endless.add(name)
+            at = start.start() + 1
+        else:
+            out.append(page[done : start.start()])
+            done = at = end.end()
+    return " ".join([*out, page[done:]])
 
 
 def visible_text(page: str) -> str:
-    return html.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", page)))
+    shown = _shown(page)
+    last = shown.rfind(">") + 1  # up to there every tag has an end
+    return html.unescape(_TAG.sub(" ", shown[:last]) + shown[last:])
+
+
+def _tags(page: str, kind: re.Pattern):
+    """The insides of tags; what looks like a tag inside another belongs to that one."""
+    at = 0
+    while (start := kind.search(page, at)) is not None:
+        end = page.find(">", start.end())
+        at = len(page) if end < 0 else end
+        yield page[start.end() : at]
 
 
 def declared_language(page: str) -> str:
-    found = _HTML_LANG.search(page) or _META_LANG.search(page)
-    return found[1].lower() if found else ""
+    for tag in _tags(page, _HTML):
+        if (found := _LANG.search(tag)) is not None:
+            return found[1].lower()
+    for tag in _tags(page, _META):
+        if (header := _HEADER.search(tag)) is not None and (said := _CONTENT.findall(tag, header.end())):
+            return said[-1].lower()
+    return ""
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -73,11 +111,13 @@ class TextModel:
         return self.logp[grams].mean(axis=0) * min(len(grams), EFFECTIVE)
 
 
-def fit(docs: DataFrame, bound: int = SAMPLE, text_col: str = "text", lang_col: str = "lang") -> TextModel:
+def fit(
+    docs: DataFrame, bound: int = SAMPLE, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id"
+) -> TextModel:
     """Trigram counts per language over at most ``bound`` documents, chosen by a
     hash of the id; counted where the texts are, one row of counts per language and task."""
     known = docs.select(
-        F.col("doc_id").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")
+        F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")
     ).filter("lang is not null and text is not null")
     chosen = known.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(bound)
     sample = known.join(F.broadcast(chosen), "id", "left_semi").select("lang", "text")
@@ -114,8 +154,6 @@ def _smoothed(counts: Column, n: Column, above: Column) -> Column:
 def identify(pages: DataFrame, model: TextModel, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, host, declared, text_lang, lang, confidence; one row per page."""
     langs = model.languages
-    if not langs:
-        raise ValueError("no document of known language")
     shared = pages.sparkSession.sparkContext.broadcast(model)
     at_host = F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.lower(at_host).alias("host"), F.col(html_col).cast("string").alias("html"))
@@ -132,6 +170,11 @@ def identify(pages: DataFrame, model: TextModel, id_col: str = "page_id", url_co
             )
 
     read_rows = rows.mapInArrow(read, "page_id long, host string, declared string, logs array<double>")
+    if not langs:
+        unknown = F.lit("")
+        return read_rows.select(
+            "page_id", "host", "declared", unknown.alias("text_lang"), unknown.alias("lang"), F.lit(0.0).alias("confidence")
+        )
     first = stored(read_rows.withColumn("p", _normal(F.col("logs"))), "first-posteriors")
     n_l = len(langs)
 

@@ -87,3 +87,30 @@ def test_text_accuracy_on_held_out_documents(spark):
 def test_empty(spark):
     model = li.fit(_docs(spark))
     assert li.identify(spark.createDataFrame([], "page_id long, url string, html string"), model).count() == 0
+
+
+def test_markup_is_read_in_linear_time():
+    import time
+
+    for piece in ("<", "<script>", "<html ", "<!--", "<meta content-language ", "</script ", "<style", " lang="):
+        page, times = piece * 300_000, []
+        t = time.process_time()
+        li.visible_text(page)
+        li.declared_language(page)
+        times.append(time.process_time() - t)
+        assert times[0] < 3, piece
+
+
+def test_markup():
+    page = "<HTML data-x='1' lang = 'fr'><Script>a<b</SCRIPT >x<!-- y -->z &amp; <b>w</b><style>unclosed < c"
+    assert li.declared_language(page) == "fr"
+    assert li.visible_text(page).split() == ["x", "z", "&", "w", "unclosed", "<", "c"]
+    assert li.declared_language("<html><meta http-equiv=content-language content='de'>") == "de"
+    assert li.declared_language("<html><html lang=en>") == "en" and li.declared_language("<htmlx lang=en>") == ""
+
+
+def test_no_documents(spark):
+    model = li.fit(spark.createDataFrame([], "doc_id long, lang string, text string"))
+    pages = spark.createDataFrame([(1, "http://a.b/", _page("en", "the")), (2, None, None)], "page_id long, url string, html string")
+    got = sorted((r.page_id, r.host, r.declared, r.text_lang, r.lang, r.confidence) for r in li.identify(pages, model).collect())
+    assert got == [(1, "a.b", "other", "", "", 0.0), (2, "", "", "", "", 0.0)]
