@@ -168,23 +168,40 @@ def links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
     small = sized.filter(F.col("count") <= SPLIT).select("key")
     large = sized.filter(F.col("count") > SPLIT).select("key")
     again = keyed.join(large, "key").select(F.explode(_keys(second, F.col("fp"), F.col("key"))).alias("key"), "fp")
-    final = keyed.join(small, "key").unionByName(again)
+    again = stored(again, "dense-points")
+    # a bucket that is dense after both cuts: its points are dealt into blocks, and every
+    # pair of blocks is a bucket of its own, so that tasks share the comparisons
+    dense = again.groupBy("key").count().filter(F.col("count") > SPLIT)
+    blocks = F.ceil(F.col("count") / SPLIT).cast("int")
+    dealt = again.join(dense.select("key", blocks.alias("n")), "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
+    pairs = dealt.select("key", "fp", "own", other).select(
+        F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp"
+    )
+    final = keyed.join(small, "key").unionByName(again.join(dense, "key", "left_anti")).unionByName(pairs)
     found = _bucket_links(final, radius)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(a, b) links -> (node, root) with root the least node of its component,
-    by large-star and small-star rounds until nothing changes."""
+    by large-star and small-star rounds until nothing changes.
+
+    A node's least neighbour is a grouped minimum (combined in the tasks) that is joined
+    back to its links, so a hub's links are never gathered in one task: the join's other
+    side has a row per node, and Spark splits a hub's links over tasks."""
     now = stored(edges.select("a", "b").filter("a <> b").distinct(), "links")
     state = None
+
+    def with_least(links: DataFrame) -> DataFrame:
+        return links.join(links.groupBy("u").agg(F.min("v").alias("m")), "u")
+
     for _ in range(max_rounds):
         both = now.union(now.select("b", "a")).toDF("u", "v")
-        least = Window.partitionBy("u")
-        large = both.withColumn("m", F.least(F.min("v").over(least), F.col("u"))).filter("v > u").select("v", "m")
+        large = with_least(both).filter("v > u").select("v", F.least("m", "u").alias("m"))
         # small star: each node hands its smaller neighbours the least of them
         down = large.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).filter("u <> v").distinct()
-        down = down.withColumn("m", F.min("v").over(least))
+        down = with_least(stored(down, "down"))
         small = down.select(F.explode(F.array("u", "v")).alias("v"), "m").filter("v <> m").distinct()
         now = stored(small.toDF("b", "a").select("a", "b"), "stars")
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -101,3 +101,37 @@ def test_components_of_documents(spark):
 def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert sh.near_dups(empty).count() == 0 and sh.one_of_each(empty).count() == 0
+
+
+def test_hub_and_dense_bucket(spark, monkeypatch):
+    """A node with 100,000 links, and many points that all collide twice."""
+    from pyspark.sql import functions as F
+
+    hub = spark.range(1, 100_001).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    got = sh.components(hub.union(spark.createDataFrame([(7_000_000, 7_000_001)], "a long, b long")))
+    assert {(r.root, r["count"]) for r in got.groupBy("root").count().collect()} in ({(0, 100_000), (7_000_000, 1)}, {(0, 100_001), (7_000_000, 2)})
+    monkeypatch.setattr(sh, "SPLIT", 16)
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 62, 3)
+    points = np.unique(np.concatenate([b ^ np.bitwise_or.reduce(1 << rng.integers(0, 62, (300, 3)), axis=1) for b in base]))
+    df = spark.createDataFrame([(int(x),) for x in points], "fp long")
+    found = {(r.a, r.b) for r in sh.links(df, 4).collect()}
+    parent = {int(x): int(x) for x in points}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    def grouped(links):
+        for x in parent:
+            parent[x] = x
+        for a, b in links:
+            parent[root(a)] = root(b)
+        groups = {}
+        for x in parent:
+            groups.setdefault(root(x), set()).add(x)
+        return {frozenset(g) for g in groups.values()}
+
+    near = np.bitwise_count((points[:, None] ^ points[None, :]).astype(np.uint64)) <= 4
+    assert grouped(found) == grouped((int(points[i]), int(points[j])) for i, j in zip(*np.nonzero(near)) if i < j)
