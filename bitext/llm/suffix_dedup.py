@@ -9,7 +9,7 @@ bytes.  A window can only repeat where the same gram is an anchor again:
 
 * a context whose equal occurs twice is a repeat from end to end (found by
   counting, with map-side combine, so a passage in a third of all rows is a row
-  per task);
+  per task); equal contexts in a row, as in a text of one character, are one row;
 * of grams with several different contexts, the windows fall into ``CLASSES`` by
   where the anchor lies in them; all windows of a class share a stretch of bytes
   around the anchor, and a class whose stretch no other context has cannot hold a
@@ -73,9 +73,30 @@ def _gram_hashes(text: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def anchors(text: bytes, length: int = LENGTH) -> list[tuple[int, int, int, int, int]]:
-    """(lo, n_starts, offset of the anchor, gram hash, context hash) that together
-    own every window start of the text once."""
+def _same_contexts(part: np.ndarray, lo: np.ndarray, n: np.ndarray, off: np.ndarray, gram: np.ndarray, length: int) -> np.ndarray:
+    """For each anchor the number of the first one of its row of equal contexts that follow
+    each other without a gap, as a text with a period gives them by the thousand."""
+    first = np.arange(len(lo))
+    alike = (n[1:] == n[:-1]) & (off[1:] == off[:-1]) & (gram[1:] == gram[:-1])
+    if not alike.any():
+        return first
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], alike.astype(np.int8), [0]])))
+    for i, j in zip(edges[::2].tolist(), edges[1::2].tolist()):  # anchors i to j are alike
+        step = int(n[i])
+        a, z = int(lo[i]), int(lo[j] + n[j]) + length - 1
+        # equal bytes one step apart, over a whole context: the next context is the same
+        differ = np.flatnonzero(part[a : z - step] != part[a + step : z])
+        upto = np.searchsorted(differ, (lo[i:j] - a) + step + length - 1) - np.searchsorted(differ, lo[i:j] - a)
+        same = np.concatenate([[False], upto == 0])
+        own = np.arange(i, j + 1)
+        first[i : j + 1] = np.maximum.accumulate(np.where(same, i, own))
+    return first
+
+
+def anchors(text: bytes, length: int = LENGTH) -> list[tuple[int, int, int, int, int, int]]:
+    """(lo, n_starts, offset of the anchor, gram hash, context hash, times) that together
+    own every window start of the text once; ``times`` equal contexts follow each other,
+    ``n_starts`` apart."""
     raw, out = np.frombuffer(text, np.uint8), []
     width = length - GRAM + 1
     for base in range(0, len(raw) - length + 1, _STARTS):
@@ -94,9 +115,14 @@ def anchors(text: bytes, length: int = LENGTH) -> list[tuple[int, int, int, int,
         lo = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         past = np.append(lo[1:], n_starts)
         place = at[lo]
-        for a, b, p, g in zip(lo.tolist(), past.tolist(), place.tolist(), hashes[place].view(np.int64).tolist()):
+        grams = hashes[place].view(np.int64)
+        first = _same_contexts(part, lo, past - lo, place - lo, grams, length)
+        head = np.flatnonzero(first == np.arange(len(lo)))
+        times = np.diff(np.append(head, len(lo)))
+        columns = (lo[head], past[head], place[head], grams[head], times)
+        for a, b, p, g, k in zip(*(c.tolist() for c in columns)):
             context = xxhash.xxh3_64_intdigest(part[a : b + length - 1])
-            out.append((base + a, b - a, p - a, g, context - (1 << 63)))
+            out.append((base + a, b - a, p - a, g, context - (1 << 63), k))
     return out
 
 
@@ -205,22 +231,22 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     texts = docs.select(*keys, text_of(text_col).alias("text")).filter(F.octet_length("text") >= length)
 
     def find(batches):
-        names = ["t1", "t2", "lo", "n", "off", "gram", "context"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        names = ["t1", "t2", "lo", "n", "off", "gram", "context", "times"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         for part in parts(batches, 200):
             t1, t2 = part.column(0).to_pylist(), part.column(1).to_pylist()
             rows = [(x, y, *r) for x, y, t in zip(t1, t2, byte_texts(part.column(2))) for r in anchors(t, length)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    found = texts.mapInArrow(find, "t1 long, t2 long, lo long, n int, off int, gram long, context long")
+    found = texts.mapInArrow(find, "t1 long, t2 long, lo long, n int, off int, gram long, context long, times long")
     found = stored(found, "anchors")
     same = ["gram", "context", "off", "n"]
-    different = found.groupBy(*same).agg(F.count("*").alias("copies"), F.min(F.struct("t1", "t2", "lo")).alias("at"))
+    different = found.groupBy(*same).agg(F.sum("times").alias("copies"), F.min(F.struct("t1", "t2", "lo")).alias("at"))
     different = stored(different, "contexts")
 
     # equal contexts: repeats from end to end
     twice = different.filter("copies > 1").select(*same)
-    whole = found.join(twice, same).select("t1", "t2", F.col("lo").alias("first"), (F.col("lo") + F.col("n") + (length - 1)).alias("past"))
+    whole = found.join(twice, same).select("t1", "t2", F.col("lo").alias("first"), (F.col("lo") + F.col("n") * F.col("times") + (length - 1)).alias("past"))
 
     # grams with several contexts: their bytes, one row per different context
     grams = different.groupBy("gram").agg(F.count("*").alias("n_contexts")).filter("n_contexts > 1")

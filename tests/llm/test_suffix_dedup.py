@@ -54,6 +54,7 @@ def _rows(seed):
         rows.append((i, " ".join(rnd.choice([line(40), rnd.choice(passages)]) for _ in range(rnd.randint(0, 6)))))
     whole = line(300)
     rows += [(100, whole), (101, whole), (101, whole), (102, whole[:500] + "#" + whole[500:]), (None, whole[3:])]
+    rows += [(110, "ab" * 900), (111, "q" + "abc" * 400 + "z" + "abc" * 400), (112, "abcd " * 90 + "e" + "abcd " * 90)]
     rows += [(103, None), (104, ""), (105, "x" * 399), (106, "x" * 400), (107, "y" * 401), (108, "z" * 5000), (109, passages[0][:399])]
     return rows
 
@@ -74,3 +75,21 @@ def test_empty(spark):
     assert sd.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     one = sd.remove_repeats(spark.createDataFrame([(1, None)], "doc_id long, text string")).first()
     assert (one.n_bytes, one.removed, bytes(one.kept)) == (0, [], b"")
+
+
+def test_periodic_text_has_few_anchors():
+    for piece in ("x", "ab", "abc def ", "".join(map(chr, range(32, 126)))):
+        text = (piece * (2_000_000 // len(piece))).encode()
+        found = sd.anchors(text)
+        assert len(found) < 500
+        assert sum(n * k for _, n, _, _, _, k in found) == len(text) - sd.LENGTH + 1
+    rnd = random.Random(4)
+    text = "".join(rnd.choice(["ab" * 300, "abc" * 200, "q", "long piece of text " * 30]) for _ in range(60)).encode()
+    at = 0
+    for lo, n, off, _, context, k in sd.anchors(text):
+        assert lo == at
+        at += n * k
+        for i in range(k):
+            a = lo + i * n
+            assert sd.xxhash.xxh3_64_intdigest(text[a : a + n + sd.LENGTH - 1]) - (1 << 63) == context
+    assert at == len(text) - sd.LENGTH + 1
