@@ -42,7 +42,7 @@ DICT_BYTES = 64 << 10
 SAMPLE_DOCS = 1000
 SEGMENT_BYTES = 1 << 20
 LEVEL = 3
-CACHE = 250_000  # words, and pieces of words, remembered; as many older ones are kept beside them
+CACHE = 120_000  # words, and pieces of words, remembered; as many older ones are kept beside them
 SAMPLE_BYTES = 8 << 10  # of a sampled document's ids
 
 _ENTRY = "struct<doc_id:bigint,offset:bigint,length:bigint,n_tokens:bigint,before:bigint>"
@@ -104,18 +104,30 @@ class WordIds:
         for w in words:
             (easy if w.isascii() and w.isprintable() or _EASY(w) else hard).append(w)
         self.words.update(zip(hard, self._plain(hard)))
-        cut = self.pieces(unicodedata.normalize("NFC", " ".join(easy)).lower())
-        new = self._missing(set(cut) - {" "}, self.known, self.older)
-        step = 4096
-        for i in range(0, len(new), step):
-            part = new[i : i + step]
-            ids = np.array(self.lean.encode(" ".join(part), add_special_tokens=False).ids, self.dtype)
+        # most words are letters alone, or letters and a mark: their pieces are plain
+        letters, marked, other = [], [], []
+        for w in easy:
+            (letters if w.isalpha() else marked if w[-1] in _MARKS and w[:-1].isalpha() else other).append(w)
+        cut = self.pieces(unicodedata.normalize("NFC", " ".join(other)).lower())
+        low, ends = [w.lower() for w in letters], [w[:-1].lower() for w in marked]
+        wanted = {*cut, *low, *ends, *(w[-1] for w in marked)} - {" "}
+        new = self._missing(wanted, self.known, self.older)
+        step = 512
+        groups = [new[i : i + step] for i in range(0, len(new), step)]
+        found = self.lean.encode_batch_fast([" ".join(part) for part in groups], add_special_tokens=False)
+        for part, encoding in zip(groups, found):
+            ids = np.array(encoding.ids, self.dtype)
             cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(cuts) != len(part):
                 self.known.update(zip(part, self._plain(part)))
                 continue
             raw, size = ids.tobytes(), self.dtype.itemsize
             self.known.update((p, raw[a * size : b * size]) for p, a, b in zip(part, [0, *cuts], cuts))
+        find = self.known.__getitem__
+        self.words.update(zip(letters, map(find, low)))
+        self.words.update((w, find(p) + find(w[-1])) for w, p in zip(marked, ends))
+        if not other:
+            return
         done, word = [], []
         for p in cut:
             if p == " ":
@@ -124,7 +136,7 @@ class WordIds:
             else:
                 word.append(self.known[p])
         done.append(b"".join(word))
-        self.words.update(zip(easy, done))
+        self.words.update(zip(other, done))
 
     @staticmethod
     def _missing(wanted: set[str], known: dict[str, bytes], older: dict[str, bytes]) -> list[str]:
@@ -175,6 +187,7 @@ class WordIds:
 
 #: Latin letters with marks as single characters, digits, ASCII marks; the rest
 #: is left to the library as it stands.
+_MARKS = frozenset(".,;:!?)\"'")
 _EASY = regex.compile(r"[!-~À-ÖØ-öø-ÿŒœ]*").fullmatch
 
 _CODERS: dict = {}  # of the worker
