@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bitext.llm.common import parts
+from bitext.llm.common import parts, replacing
 
 CACHE = 100_000
 CHUNK_CHARS = 2_000_000
@@ -370,8 +370,9 @@ def with_ids(
     """``docs`` and a binary column of ids (little-endian, 4 bytes each); with
     ``decoded`` also a column of the bytes that those ids stand for, so that one
     worker per task does both.  The vocabulary is the driver's file, broadcast
-    (under a MB)."""
+    (under a MB).  Columns named like the results are replaced."""
     added = [out, *([decoded] if decoded else [])]
+    docs = replacing(docs, text_col, *added)
     tokens = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     at = docs.columns.index(text_col)
 
@@ -389,7 +390,8 @@ def with_ids(
 
 
 def with_bytes(coded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", out: str = "bytes") -> DataFrame:
-    """``coded`` and the bytes that its ids stand for."""
+    """``coded`` and the bytes that its ids stand for; a column of their name is replaced."""
+    coded = replacing(coded, ids_col, out)
     tokens = coded.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     at = coded.columns.index(ids_col)
 

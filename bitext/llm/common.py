@@ -40,6 +40,14 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def replacing(df: DataFrame, read: str, *names: str) -> DataFrame:
+    """``df`` without columns named like the results ``names``, which take their place (as
+    ``withColumn`` does; Spark ignores case); the column that is read cannot be one."""
+    if read.lower() in {n.lower() for n in names}:
+        raise ValueError(f"the result cannot take the place of {read}, which is read")
+    return df.drop(*names)
+
+
 def _trim() -> None:
     """Give freed pages back to the system, where the C library can."""
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

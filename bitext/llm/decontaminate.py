@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bitext.llm.common import byte_texts, fresh, parts
+from bitext.llm.common import byte_texts, fresh, parts, replacing
 
 WIDTH = 13
 BLOCK_BYTES = 8 << 20
@@ -50,12 +50,12 @@ class WordSearch:
         self.block = min(2, length)
         self.skip = length - self.block + 1
         self.shift: dict = {}
-        self.bucket: dict = defaultdict(list)
+        self.bucket: dict = defaultdict(set)
         for window in windows:
             for end in range(self.block, length + 1):
                 block = window[end - self.block : end]
                 self.shift[block] = min(self.shift.get(block, self.skip), length - end)
-            self.bucket[window[-self.block :]].append(window)
+            self.bucket[window[-self.block :]].add(window)
 
     def find(self, words: list[bytes]) -> Iterator[tuple[int, tuple[bytes, ...]]]:
         shift, skip, back, width = self.shift.get, self.skip, self.block - 1, self.length
@@ -68,10 +68,8 @@ class WordSearch:
                 continue
             start = end - width + 1
             here = tuple(words[start : end + 1])
-            for window in self.bucket[block]:
-                if window == here:
-                    yield start, window
-                    break
+            if here in self.bucket[block]:
+                yield start, here
             end += 1
 
 
@@ -117,7 +115,9 @@ def with_occurrences(
     width: int = WIDTH, found: str = "found",
 ) -> DataFrame:
     """``docs`` and a struct column: n_words, the merged word spans that occur
-    in the items, and the ids of the items they come from."""
+    in the items, and the ids of the items they come from.  A column of its name
+    is replaced."""
+    docs = replacing(docs, text_col, found)
     sc = docs.sparkSession.sparkContext
     blocks = [sc.broadcast(rows) for rows in _blocks(items, item_id, item_text)]
     at = docs.columns.index(text_col)

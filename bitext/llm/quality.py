@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bitext.llm.common import fresh, parts
+from bitext.llm.common import fresh, parts, replacing
 from bitext.llm.labelled import training_rows
 
 LABELLED = 4096
@@ -147,6 +147,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int =
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
+    """``docs`` and a score; a column of that name is replaced."""
+    docs = replacing(docs, text_col, out)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

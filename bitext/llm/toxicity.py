@@ -23,8 +23,7 @@ whole text.
 
 Edge cases: null counts as empty; texts without words score like a sentence
 without any similarity; without labelled rows of both kinds every score is 0;
-repeated rows stay; further columns pass through, a score of a name that the table has
-is an error."""
+repeated rows stay; further columns pass through, one named like the score is replaced."""
 
 from __future__ import annotations
 
@@ -36,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bitext.llm.common import parts
+from bitext.llm.common import parts, replacing
 from bitext.llm.labelled import training_rows
 
 LABELLED = 6000
@@ -348,8 +347,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Model | No
 
 
 def with_score(docs: DataFrame, model: Model | None, text_col: str = "text", out: str = "score") -> DataFrame:
-    if out.lower() in {c.lower() for c in docs.columns}:
-        raise ValueError(f"the table has a column {out} already; name another one for the score")
+    docs = replacing(docs, text_col, out)
     if model is None:
         return docs.withColumn(out, F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)
