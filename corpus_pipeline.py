@@ -2,7 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one
 before kept; its output is written as Parquet and read back as the next
-one's docs.  All but the last return the columns of documents."""
+one's docs.  All but the last return the columns of documents, all of them, whatever
+their names.
+
+Edge cases of every stage: a null text counts as empty and is judged like one; a null
+doc_id stays unless its text goes; rows with equal ids are rows of their own; an empty
+table gives an empty one, with the stage's columns."""
 
 from __future__ import annotations
 
@@ -18,22 +23,34 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the quality classifier accepts; it learns from the labelled rows of
+    ``docs`` outside the held-out part.  A text like none of them gets their mean
+    label; without any of them every score is 0.5, so no row is accepted."""
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of rows with equal texts (A-Z folded) the one with the largest doc_id, null ids
+    last; of rows that are equal in id and text one stays."""
     return exact_dedup.first_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of rows whose fingerprints are linked (at most 4 differing bits, over any number of
+    steps) the one with the least doc_id, null ids last, then the least text hash.  Texts
+    without words share the fingerprint zero."""
     return simhash.one_of_each(docs, shingle=4, radius=4)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows of which less than a twentieth of the words lies in a benchmark window;
+    rows without words stay, and so do all without a benchmark."""
     return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, the text's token ids (little-endian, 4 bytes each) with their number and
+    digest, and the digest of the bytes that they decode to; an empty text has no ids."""
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
     return bpe_codec.with_ids(docs.select("doc_id", "text"), path, pattern, decoded="bytes").select(
         "doc_id",
