@@ -42,7 +42,7 @@ DICT_BYTES = 64 << 10
 SAMPLE_DOCS = 1000
 SEGMENT_BYTES = 1 << 20
 LEVEL = 3
-CACHE = 120_000  # words, and pieces of words, remembered; as many older ones are kept beside them
+WORDS, PIECES = 120_000, 120_000  # remembered; as many older ones are kept beside them
 SAMPLE_BYTES = 8 << 10  # of a sampled document's ids
 
 _ENTRY = "struct<doc_id:bigint,offset:bigint,length:bigint,n_tokens:bigint,before:bigint>"
@@ -141,14 +141,10 @@ class WordIds:
     @staticmethod
     def _missing(wanted: set[str], known: dict[str, bytes], older: dict[str, bytes]) -> list[str]:
         """What neither knows; what only ``older`` knows is remembered again."""
-        out = []
-        for x in wanted - known.keys():
-            ids = older.get(x)
-            if ids is None:
-                out.append(x)
-            else:
-                known[x] = ids
-        return out
+        left = wanted.difference(known)
+        back = left.intersection(older)
+        known.update(zip(back, map(older.__getitem__, back)))
+        return list(left.difference(back))
 
     def _may_hold(self, text: str) -> bool:
         """An added token, whatever the file says of folding before the search."""
@@ -173,9 +169,9 @@ class WordIds:
             while to < len(texts) and (to == at or size + len(texts[to]) <= chunk_chars):
                 size += len(texts[to])
                 to += 1
-            if len(self.words) > CACHE:
+            if len(self.words) > WORDS:
                 self.older_words, self.words = self.words, {"": b""}
-            if len(self.known) > CACHE:
+            if len(self.known) > PIECES:
                 self.older, self.known = self.known, {}
             cut = [t.replace("\n", " ").split(" ") for t in texts[at:to]]
             known = self.words
