@@ -80,3 +80,41 @@ def test_edge_cases(spark, rows):
     got = tx.with_score(docs, some, out="toxicity").collect()
     assert len(got) == 3 and all(0 <= r.toxicity <= 1 for r in got)
     assert tx.with_score(docs.limit(0), some, out="toxicity").count() == 0
+
+
+def test_held_out_recall_and_precision(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    known = docs.select("doc_id", "text").join(labels, "doc_id")
+    model = tx.fit(docs, labels)
+    got = tx.with_score(known.filter(held_out(F.col("doc_id"))).select("doc_id", "text", "toxic"), model).collect()
+    said, toxic = np.array([r.score >= tx.TOXIC_SCORE for r in got]), np.array([bool(r.toxic) for r in got])
+    assert toxic.sum() > 50
+    assert (said & toxic).sum() / toxic.sum() >= 0.85 and (said & toxic).sum() / said.sum() >= 0.85
+
+
+def test_features_and_scores_one_by_one(monkeypatch):
+    """Words are remembered, dropped and gathered by rows; each sentence by itself gives the same."""
+    import random
+
+    rnd = random.Random(5)
+    marks = tx.Landmarks(["idiot", "moron", "stupid"])
+    words = ["idiot", "id1ot", "i.d.i.o.t", "idi0t", "moroon", "stu-pid", "good", "day", "x" * 70 + "idiot", "ok"]
+    texts = [". ".join(" ".join(rnd.choice(words) + rnd.choice(["", "", "s", str(rnd.randrange(40))]) for _ in range(rnd.randint(0, 6))) for _ in range(rnd.randint(0, 5))) for _ in range(120)]
+    monkeypatch.setattr(tx, "_CACHE", 20)
+    got = [r for i in range(0, len(texts), 10) for r in marks.sentences(texts[i : i + 10])]
+    for text, rows in zip(texts, got):
+        want = []
+        for sentence in tx.sentences_of(text):
+            near = []
+            for w in tx.words_of(sentence):
+                value = np.max([v for v in marks.kernel(tx._pieces(w)) if v.max() >= tx.FLOOR] or [np.zeros(3)], axis=0)
+                near += [value] if value.any() else []
+            if near:
+                want.append(np.max(near, axis=0))
+        assert np.allclose(rows, np.array(want).reshape(-1, 3), atol=1e-6)
+    toxic = np.array([int(any(len(r) and r.max() > 0.5 for r in [rows])) for rows in got])
+    model = tx.Model(marks, got, toxic)
+    for text, rows, score in zip(texts, got, model.scores(texts)):
+        f = max([model.w[-1], *(float(r @ marks.root @ model.w[:-1]) + model.w[-1] for r in rows)])
+        assert abs(score - 1 / (1 + np.exp(-(model.a * f + model.b)))) < 1e-5
