@@ -1,3 +1,6 @@
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from bitext.functions import text as tx
@@ -84,3 +87,15 @@ def test_chain_without_rejoin_equals_full_chain(spark):
 def test_pretokenize_keeps_accented_words(spark):
     got = _one(spark, "café schön, c’est 12€ naïve\u00a0x_y", lambda c: F.array_join(tx.pretokenize(c), " "))
     assert got == "café schön , c ’ est 12 € naïve x_y"
+
+
+def test_cleaning_steps_on_odd_space_and_marks(spark):
+    """STR4 and STR5 against their plain patterns, and without a match per lone space."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab .,!?  \t\n\x0b\f\r\u00a0") for _ in range(rng.randint(0, 30))) for _ in range(500)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(tx.collapse_space("t").alias("a"), tx.space_after_punct("t").alias("b")).collect()
+    for t, r in zip(texts, got):
+        assert r.a == re.sub(r"\s+", " ", t, flags=re.ASCII).strip(" ")
+        assert r.b == re.sub(r"(?<=[.,!?])(?=[^\s])", " ", t, flags=re.ASCII)
+    assert not re.search(tx.SPACE_RUN, "a lone space each")
