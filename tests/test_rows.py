@@ -6,6 +6,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from bitext.functions import text as tx
 from bitext.operators import bleu as ob
 from bitext.operators import bpe
 from bitext.operators import vocab as vb
@@ -86,3 +87,24 @@ def test_dictionary_report_reads_its_splits_once(spark):
         ("train", "src", 2, 6, 0, 0.0, 3), ("train", "tgt", 2, 2, 0, 0.0, 1),
         ("valid", "src", 1, 1, 0, 0.0, 3), ("valid", "tgt", 1, 2, 1, 50.0, 1),
     ]
+
+
+def test_texts_move_and_words_are_cut_where_they_arrive(spark):
+    """The exchange carries the text of a line, not an array of its words."""
+    rows = [(i % 3, "the cat  sat" if i % 2 else "the dog ran home", "the cat sat") for i in range(9)]
+    df = spark.createDataFrame(rows, "k long, s string, t string")
+    arrays = df.select("k", tx.words("s").alias("s"), tx.words("t").alias("t"))
+    merges = [(1, "t", "h", 9), (2, "th", "e", 9)]
+    seg = spark.createDataFrame([("the", 12), ("cat", 9)], "word string, freq long")
+    moved = [
+        (ob.bleu_stats(df, "k", tx.words("s"), tx.words("t")), ob.bleu_stats(arrays, "k", "s", "t")),
+        (
+            bpe.segment_words(df, "k", {"s": tx.words("s")}, seg, None, merges),
+            bpe.segment_words(arrays, "k", {"s": F.col("s")}, seg, None, merges),
+        ),
+    ]
+    for of_text, of_words in moved:
+        plan = of_text._jdf.queryExecution().optimizedPlan().toString()  # from the top down
+        before, after = plan.split("RepartitionByExpression")
+        assert "regexp_extract_all" in before and "regexp_extract_all" not in after
+        assert _same(of_text, of_words)
