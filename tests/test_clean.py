@@ -99,3 +99,11 @@ def test_cleaning_steps_on_odd_space_and_marks(spark):
         assert r.a == re.sub(r"\s+", " ", t, flags=re.ASCII).strip(" ")
         assert r.b == re.sub(r"(?<=[.,!?])(?=[^\s])", " ", t, flags=re.ASCII)
     assert not re.search(tx.SPACE_RUN, "a lone space each")
+
+
+def test_clean_words_are_the_words_of_cleaned_text(spark):
+    rnd = random.Random(5)
+    parts = [" ", "  ", "\t", "\n", "\x0b", "\f", "\r", "\u00a0", ".", "!!", ",", "?", "a", "bc", "é", "(pause 1.2)"]
+    texts = ["", None, " ", "\r", "."] + ["".join(rnd.choices(parts, k=rnd.randint(1, 12))) for _ in range(2000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(tx.clean_text("t").alias("t"))
+    assert df.where(~tx.clean_words("t").eqNullSafe(tx.words("t"))).count() == 0
