@@ -108,3 +108,32 @@ def test_texts_move_and_words_are_cut_where_they_arrive(spark):
         before, after = plan.split("RepartitionByExpression")
         assert "regexp_extract_all" in before and "regexp_extract_all" not in after
         assert _same(of_text, of_words)
+
+
+def test_sorted_rows_are_texts_not_arrays_of_words(spark):
+    """Nothing that sorts, and so spills, holds a row's words: they are cut above the sort."""
+    df = spark.createDataFrame([(i % 3, "the cat sat", "the dog sat") for i in range(9)], "k long, s string, t string")
+    stats = ob.bleu_stats(df, "k", tx.words("s"), tx.words("t"))
+    seg = spark.createDataFrame([("the", 12)], "word string, freq long")
+    cut = bpe.segment_words(df, "k", {"s": tx.words("s")}, seg, None, [(1, "t", "h", 9)])
+    for out in (stats, cut):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()  # from the top down
+        above, below = plan.split("Sort [")
+        assert "regexp_extract_all" in above and "regexp_extract_all" not in below
+        assert "collect_list" not in plan
+
+
+def test_rows_of_a_key_over_several_batches(spark):
+    _, df = _lines(spark, n=1500)
+    many = df.withColumn("k", F.when(F.col("k") % 2 == 0, 4).otherwise(F.col("k")))  # half of the rows have one key
+    voc = spark.createDataFrame(vb.build_vocab(df, "s", max_tokens=40).collect(), "token string, freq long, id int")
+    joined = vb.encode(many, ["k"], "s", voc).collect()
+    stats = ob.bleu_stats(many, "k", "s", "t").collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        looked_up = vb.encode(many, ["k"], "s", voc, max_tokens=40).collect()
+        small = ob.bleu_stats(many, "k", "s", "t").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(str, looked_up)) == sorted(map(str, joined))
+    assert sorted(map(str, small)) == sorted(map(str, stats))
