@@ -107,3 +107,24 @@ def test_clean_words_are_the_words_of_cleaned_text(spark):
     texts = ["", None, " ", "\r", "."] + ["".join(rnd.choices(parts, k=rnd.randint(1, 12))) for _ in range(2000)]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(tx.clean_text("t").alias("t"))
     assert df.where(~tx.clean_words("t").eqNullSafe(tx.words("t"))).count() == 0
+
+
+def test_patterns_run_only_where_they_may_match(spark):
+    """A text without any part that a step looks for skips the steps; all others go through them."""
+    import random
+
+    rnd = random.Random(5)
+    parts = ["a", "Bc", " ", "  ", "\t", "\n", "\x0b", "\f", "\r", ",", ".", "!", "?", "(pause 1.2)", "(pause ", "é", "\xa0", " "]
+    rows = [("".join(rnd.choices(parts, k=rnd.randrange(9))),) for _ in range(4000)] + [(None,), ("",)]
+    df = spark.createDataFrame(rows, "t string")
+    steps = F.col("t")
+    for step in (tx.remove_pause, tx.squeeze_commas, tx.squeeze_repeat_punct, tx.collapse_space, tx.space_after_punct):
+        steps = step(steps)
+    assert df.where(~tx.clean_text("t").eqNullSafe(steps)).count() == 0
+
+
+def test_a_computed_side_is_computed_once(spark):
+    df = spark.createDataFrame([("the cat", "x"), ("the ", "y"), (None, "z"), ("b", "")], "t string, tgt string")
+    got = cl.clean_corpus(df.select(F.regexp_replace("t", "(^| )the ", "$1").alias("src"), "tgt"))
+    assert got._jdf.queryExecution().executedPlan().toString().count("the ") == 1
+    assert [tuple(r) for r in got.collect()] == [("cat", "x")]

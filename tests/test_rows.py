@@ -6,6 +6,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as E
 from bitext.functions import text as tx
 from bitext.operators import bleu as ob
 from bitext.operators import bpe
@@ -137,3 +138,30 @@ def test_rows_of_a_key_over_several_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted(map(str, looked_up)) == sorted(map(str, joined))
     assert sorted(map(str, small)) == sorted(map(str, stats))
+
+
+def test_scores_join_their_rows_without_a_join(spark):
+    """The rows are dealt once, as texts, and come out as if the statistics were joined back."""
+    texts = ["the cat sat", "the cat", "", None, "a the cat sat on the mat", "the cat sat on"]
+    rows = [(i % 4 if i % 11 else None, i, texts[i % 6], texts[i * 5 % 7 % 6]) for i in range(60)]
+    rows += [(100 + i, i, "the cat sat on the mat", "the mat the cat") for i in range(30)]
+    df = spark.createDataFrame(rows, "k long, i int, s string, t string")
+    cut = lambda c: F.when(F.col(c) == "", F.array().cast("array<string>")).otherwise(F.split(c, " "))
+    got = ob.with_sentence_bleu(df, "k", F.col("s"), F.col("t"), "method4")
+    assert "Join" not in _plan(got) and _plan(got).count("Exchange") == 1
+    joined = df.join(ob.sentence_bleu(df, "k", cut("s"), cut("t"), "method4"), "k")
+    assert got.columns == joined.columns and got.count() > df.count() and _same(got, joined)
+    arrays = df.select("k", "i", cut("s").alias("s"), cut("t").alias("t"))
+    joined = arrays.join(ob.sentence_bleu(arrays, "k", "s", "t", "method4"), "k")
+    assert _same(ob.with_sentence_bleu(arrays, "k", "s", "t", "method4"), joined)
+    assert ob.with_sentence_bleu(df.where("i < 0"), "k", F.col("s"), F.col("t"), "none").count() == 0
+
+
+def test_report_deals_texts_once(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "en", "the Cat sat\nA dog  ran"), (1, "en", "the mat"), (2, "en", None)], "doc_id long, lang string, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = E.queries()["bleu_report"](spark, str(tmp_path))
+    plan = _plan(got)
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning(row_id") == 1
+    assert "array" not in plan[plan.index("Exchange hashpartitioning(row_id") :].split("Scan")[0].replace("array(true)", "")
+    assert len(got.collect()) == 5  # two rows of one key and lengths of their own, each with both scores; one alone
