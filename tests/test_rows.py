@@ -4,6 +4,8 @@ results are those of the paths that join tokens, keys that repeat or are null to
 import random
 from collections import Counter
 
+import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
@@ -11,6 +13,8 @@ from bitext.functions import text as tx
 from bitext.operators import bleu as ob
 from bitext.operators import bpe
 from bitext.operators import vocab as vb
+from bitext.operators.rows import words_of
+from bitext.plans import q_models
 
 
 def _plan(df):
@@ -165,3 +169,69 @@ def test_report_deals_texts_once(spark, tmp_path):
     assert "Join" not in plan and plan.count("Exchange hashpartitioning(row_id") == 1
     assert "array" not in plan[plan.index("Exchange hashpartitioning(row_id") :].split("Scan")[0].replace("array(true)", "")
     assert len(got.collect()) == 5  # two rows of one key and lengths of their own, each with both scores; one alone
+
+
+def test_words_of_texts():
+    rnd = random.Random(2)
+    for _ in range(300):
+        texts = [None if rnd.random() < 0.1 else "".join(rnd.choices(["a", "é", "bc", " ", "\t"], k=rnd.randrange(6))) for _ in range(rnd.randrange(8))]
+        first, kind = rnd.randrange(len(texts) + 1), rnd.choice([pa.string(), pa.large_string()])
+        got = words_of(pa.array(texts, kind).slice(first))
+        got.validate(full=True)
+        assert got.to_pylist() == [t.split(" ") if t else [] for t in texts[first:]]
+
+
+def test_merges_of_many_words_at_once():
+    """As one word at a time, with pairs that come up again and symbols of no merge."""
+    for seed in range(100):
+        rnd = random.Random(seed)
+        symbols, merges = list("abcé"[: rnd.randint(1, 4)]), []
+        letters = [*symbols, "z"]
+        for _ in range(rnd.randrange(40)):
+            merges.append((rnd.choice(symbols), rnd.choice(symbols)))
+            symbols.append("".join(merges[-1]))
+        words = [rnd.choices(letters, k=rnd.randrange(14)) for _ in range(60)]
+        got = bpe.Merges(merges).last(pa.array(words, pa.list_(pa.string()))).to_pylist()
+        assert got == [bpe._last(w, bpe._steps(merges)) for w in words]
+
+
+def test_texts_stand_for_arrays(spark, monkeypatch):
+    """Counted, cut, encoded and decoded as texts: the same rows, keys that repeat or are null too."""
+    _, arrays = _lines(spark)
+    arrays = arrays.withColumn("t", F.coalesce("t", F.array().cast("array<string>")))
+    texts = arrays.select("k", F.array_join("s", " ").alias("s"), F.array_join("t", " ").alias("t"))
+    texts = texts.withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("k")))
+    assert _same(vb.token_counts(texts, "s"), vb.token_counts(arrays, "s"))
+    both = vb.token_counts(texts, ["s", "t"])
+    assert both.schema == vb.token_counts(arrays, "s").schema and "Generate" not in _plan(both)
+    assert _same(both, vb.token_counts(arrays, ["s", "t"]))
+    merges, seg = bpe.learn(both.withColumnRenamed("token", "word"), 30)
+    monkeypatch.setattr(bpe, "HEAD_WORDS", 10)  # the others are cut by the merges
+    for mark in (None, bpe.CONTINUES):
+        exp = bpe.segment_words(arrays, "k", {"s": F.col("s"), "t": F.col("t")}, seg, mark, merges)
+        sides = {"s": F.col("s"), "t": F.col("t")}
+        assert _same(bpe.segment_words(texts, "k", sides, seg, mark, merges, repeats="rows"), exp)
+        joined = bpe.segment_words(texts, "k", sides, seg, mark, merges, True, "rows")
+        assert _same(joined, exp.select("k", F.array_join("s", " ").alias("s"), F.array_join("t", " ").alias("t")))
+    exp, voc = exp.cache(), spark.createDataFrame(vb.build_vocab(joined, ["s", "t"], max_tokens=30).collect(), "token string, freq long, id int")
+    ids = vb.encode(joined, ["k"], ["s", "t"], voc, ["a", "b"], max_tokens=30, unique=True)
+    for side, out in (("s", "a"), ("t", "b")):
+        alone = vb.encode(exp, ["k"], side, voc, out, max_tokens=30, unique=True)
+        assert _same(ids.select("k", out), alone)
+        back = vb.decode(ids, ["k"], ["a", "b"], voc.where("id <> 7"), ["a", "b"], skip_ids=(0, 1, 5), max_tokens=30, unique=True)
+        assert _same(back.select("k", out), vb.decode(alone, ["k"], out, voc.where("id <> 7"), out, skip_ids=(0, 1, 5)))
+
+
+def test_subword_text_cleans_once_and_deals_nothing_more(spark, tmp_path, monkeypatch):
+    docs = [(1, "en", "the low lower lowest\nnew  newer, low."), (1, "en", "the newest"), (2, "en", "é éé\n\nof the ")]
+    spark.createDataFrame(docs, "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    calls, gone = [], []
+    monkeypatch.setattr(q_models, "clean_p", lambda *a, f=q_models.clean_p: calls.append(a) or f(*a))
+    monkeypatch.setattr(q_models, "remove", lambda s, path, f=q_models.remove: gone.append(path) or f(s, path))
+    got = q_models.subword_text(spark, str(tmp_path), 6)
+    assert len(calls) == 1 and len(gone) == 1 and "Exchange" not in _plan(got)
+    rows = {r.row_id: (r.src, r.tgt) for r in got.collect()}
+    n = 1 << 32
+    assert sorted(rows) == [n, n + 1, 2 * n, 2 * n + 2] and rows[n + 1] == ("new newer , low .",) * 2
+    assert sorted(rows[n][1].split()) == sorted("the low lower lowest the newest".split())  # two rows of one key
+    assert rows[2 * n] == ("é éé", "é éé") and rows[2 * n + 2] == ("the", "of the")
